@@ -31,8 +31,11 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | None) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of at most BATCH_CHARS bytes of text, or one row."""
+    if column is None:
+        yield batch
+        return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     at = total = 0
     for i, size in enumerate(sizes):
@@ -44,7 +47,7 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         yield batch.slice(at)
 
 
-def map_text(df: DataFrame, columns: list[str], schema: str, rows: Callable[[dict[str, list]], dict[str, list]], text: str = "text") -> DataFrame:
+def map_text(df: DataFrame, columns: list[str], schema: str, rows: Callable[[dict[str, list]], dict[str, list]], text: str | None = "text") -> DataFrame:
     """``rows`` over bounded pieces of a table: lists by column in, lists by column out."""
     names = [f.split(" ")[0] for f in schema.split(", ")]
     kinds = pa.schema([pa.field(n, _KINDS[f.split(" ")[1]]) for n, f in zip(names, schema.split(", "))])
@@ -77,10 +80,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared folder, so that a lost executor loses none of them."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
+    """The rows, computed once and written to the shared folder, so that a lost executor loses none of them."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
