@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, pii, quality, url_filter
+from . import bpe, pii, quality, simhash, url_filter
 from .common import table
 
 #: The rules that op1 judges by.
@@ -25,11 +25,15 @@ def op6_quality(spark, sf_dir):
     return quality.grade(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark, sf_dir):
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_bpe, op6_quality, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op4_bpe, op6_quality, op8_simhash, op9_pii)}
 
 ORACLES = {
     "op1_url_filter": """
