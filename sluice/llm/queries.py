@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, pii, quality, simhash, url_filter
+from . import bpe, pii, quality, simhash, substring_dedup, url_filter
 from .common import table
 
 #: The rules that op1 judges by.
@@ -21,6 +21,10 @@ def op4_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op5_substring_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), as_text=False).withColumnRenamed("kept", "kept_sha256")
+
+
 def op6_quality(spark, sf_dir):
     return quality.grade(table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op9_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_bpe, op6_quality, op8_simhash, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op4_bpe, op5_substring_dedup, op6_quality, op8_simhash, op9_pii)}
 
 ORACLES = {
     "op1_url_filter": """
