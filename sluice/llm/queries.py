@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, pii, quality, simhash, substring_dedup, url_filter
-from .common import table
+from . import bpe, pii, quality, simhash, substring_dedup, token_store, url_filter
+from .common import shared_dir, table
 
 #: The rules that op1 judges by.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -29,6 +29,12 @@ def op6_quality(spark, sf_dir):
     return quality.grade(table(spark, sf_dir, "documents"))
 
 
+def op7_token_store(spark, sf_dir):
+    path = shared_dir(spark)
+    token_store.write(table(spark, sf_dir, "documents"), path, WORD_BPE, end_id=1)
+    return token_store.read(spark, path)
+
+
 def op8_simhash(spark, sf_dir):
     return simhash.groups(table(spark, sf_dir, "documents"))
 
@@ -37,7 +43,7 @@ def op9_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_bpe, op5_substring_dedup, op6_quality, op8_simhash, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op4_bpe, op5_substring_dedup, op6_quality, op7_token_store, op8_simhash, op9_pii)}
 
 ORACLES = {
     "op1_url_filter": """
