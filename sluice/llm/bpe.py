@@ -165,25 +165,16 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> D
     return df.select(key, ids).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, text string")
 
 
-def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``key``, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the decoded text itself, in one pass."""
-    more = ", decoded string" if keep else ""
+def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, n_tokens, ids_sha256 and decoded_sha256, in one pass."""
 
     def rows(part):
-        of, out = memory(path), {key: part[key], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "decoded": []}
+        of, out = memory(path), {key: part[key], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
         for t in part[text]:
             ids, data = of(t or "")
-            decoded = data.decode("utf-8", "replace")
             out["n_tokens"].append(ids.count(",") + bool(ids))
             out["ids_sha256"].append(sha256(ids.encode()))
-            out["decoded_sha256"].append(sha256(decoded.encode()))
-            out["decoded"].append(decoded)
-        return out | {c: part[c] for c in keep or ()}
+            out["decoded_sha256"].append(sha256(data.decode("utf-8", "replace").encode()))
+        return out
 
-    kinds = dict(df.dtypes)
-    extra = "".join(f", {c} {_sql(kinds[c])}" for c in keep or ())
-    return map_text(df, [key, text, *(keep or ())], f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string{more}{extra}", rows, text)
-
-
-def _sql(kind: str) -> str:
-    return {"bigint": "long"}.get(kind, kind)
+    return map_text(df, [key, text], f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows, text)

@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,11 +153,11 @@ def train(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 60, ridge:
 _FOUND = "bases array<int>, added array<int>"
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, bases: (kind, start, end) of the base spans, flat; added: (kind, start, end, votes) of the candidates, flat."""
 
     def rows(part):
-        out = {c: part[c] for c in [key, *(keep or ())]} | {"bases": [], "added": []}
+        out = {key: part[key], "bases": [], "added": []}
         for t in part[text]:
             base = base_spans(t or "")
             flat = [x for k, spans in enumerate(base) for s, e in spans for x in (k, s, e)]
@@ -165,9 +166,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str]
             out["added"].append([x for c in more for x in c])
         return out
 
-    kinds = {"bigint": "long"}
-    more = "".join(f", {c} {kinds.get(k, k)}" for c, k in df.select(*keep).dtypes) if keep else ""
-    return map_text(df, list(dict.fromkeys([key, text, *(keep or ())])), f"{key} long, {_FOUND}{more}", rows, text)
+    return map_text(df, [key, text], f"{key} long, {_FOUND}", rows, text)
 
 
 def classifier(scanned: DataFrame, sample: int = 50_000) -> np.ndarray:
@@ -220,17 +219,24 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 5
 
 
 def mask(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 50_000) -> DataFrame:
-    """The table with each span of ``text`` replaced by its kind in brackets; all columns stay."""
-    scanned = durable(scan(df, key, text, keep=[c for c in df.columns if c != key]))
-    beta = classifier(scanned, sample)
-
-    def rows(part):
-        out = dict(part)
-        out[text] = [masked(t, choose(b, a, beta)) for t, b, a in zip(part[text], part["bases"], part["added"])]
-        return out
-
-    kinds = {"bigint": "long"}
-    return map_text(scanned, [*df.columns, "bases", "added"], ", ".join(f"{c} {kinds.get(k, k)}" for c, k in df.dtypes), rows, text)
+    """The table with each span of ``text`` replaced by its kind in capitals and brackets; all columns stay. Texts are read twice, once
+    to count the votes of all rows and once to mask, so that no text is stored or shuffled."""
+    beta = classifier(scan(df, key, text), sample)
+    at = df.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for value in batch.column(at):
+                t = value.as_py()
+                if t and ("@" in t or _DIGIT.search(t)):
+                    base = base_spans(t)
+                    more = candidates(t, [s for spans in base for s in spans])
+                    t = masked(t, choose([x for k, spans in enumerate(base) for s, e in spans for x in (k, s, e)], [x for c in more for x in c], beta))
+                texts.append(t)
+            yield batch.set_column(at, text, pa.array(texts, pa.string()))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def masked(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:

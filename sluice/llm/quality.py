@@ -15,6 +15,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,17 +109,15 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.ndarr
     return belief
 
 
-def measure(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``key``, COLUMNS and the columns to keep."""
+def measure(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and COLUMNS."""
     names = [c.split(" ")[0] for c in COLUMNS.split(", ")]
-    kinds = {"bigint": "long"}
 
     def rows(part):
         found = [judge(t) for t in part[text]]
-        return {c: part[c] for c in [key, *(keep or ())]} | {n: [f[i] for f in found] for i, n in enumerate(names)}
+        return {key: part[key]} | {n: [f[i] for f in found] for i, n in enumerate(names)}
 
-    more = "".join(f", {c} {kinds.get(k, k)}" for c, k in df.select(*(keep or ())).dtypes) if keep else ""
-    return map_text(df, list(dict.fromkeys([key, text, *(keep or ())])), f"{key} long, {COLUMNS}{more}", rows, text)
+    return map_text(df, [key, text], f"{key} long, {COLUMNS}", rows, text)
 
 
 def grade(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -127,10 +126,30 @@ def grade(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: flo
     return posterior(measured, threshold)
 
 
-def posterior(measured: DataFrame, threshold: float = 0.5) -> DataFrame:
-    spark = measured.sparkSession
+def keep_good(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows that ``grade`` keeps, with all their columns. Texts are judged twice, once to count the vote patterns of
+    all rows and once to filter, so that no text is stored or shuffled."""
+    beliefs = {int(p): float(g) for p, g in zip(*believe(measure(df, key, text)))}
+    at = df.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            found = (judge(t.as_py()) for t in batch.column(at))
+            yield batch.filter(pa.array([not f[-2] and beliefs[f[-1]] >= threshold for f in found], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def believe(measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Vote patterns and the posterior probability of good under each."""
     seen = measured.groupBy("pattern").count().collect()  # at most 3 ** len(RULES) rows
     patterns, counts = np.array([r[0] for r in seen], np.int64), np.array([r[1] for r in seen], float)
-    good = fit(patterns, counts)
+    order = np.argsort(patterns)
+    return patterns[order], fit(patterns[order], counts[order])
+
+
+def posterior(measured: DataFrame, threshold: float = 0.5) -> DataFrame:
+    spark = measured.sparkSession
+    patterns, good = believe(measured)
     by_pattern = spark.createDataFrame([(int(p), float(g)) for p, g in zip(patterns, good)], "pattern int, p_good double")
     return measured.join(F.broadcast(by_pattern), "pattern").drop("pattern").withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, pii, quality, simhash, substring_dedup, token_store, url_filter
+from . import bpe, decontam, pii, quality, simhash, substring_dedup, token_store, url_filter
 from .common import shared_dir, table
 
 #: The rules that op1 judges by.
@@ -17,6 +17,10 @@ def op1_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_decontam(spark, sf_dir):
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -43,7 +47,7 @@ def op9_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_bpe, op5_substring_dedup, op6_quality, op7_token_store, op8_simhash, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontam, op4_bpe, op5_substring_dedup, op6_quality, op7_token_store, op8_simhash, op9_pii)}
 
 ORACLES = {
     "op1_url_filter": """

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import BATCH_ROWS, durable, map_text
@@ -185,3 +186,11 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
     named = first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     joined = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return marked.join(joined, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows whose key is the smallest of their group, with all their columns; of rows of equal key the one of the least text."""
+    grouped = groups(df, key, text, **options)
+    chosen = grouped.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_chosen")).distinct()
+    kept = df.join(chosen, df[key].eqNullSafe(chosen["_chosen"]), "left_semi")
+    return kept.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(text))).filter("_n = 1").drop("_n")
