@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontam, pii, quality, simhash, substring_dedup, token_store, url_filter
+from . import bpe, chat, decontam, pii, quality, simhash, substring_dedup, token_store, url_filter
 from .common import shared_dir, table
 
 #: The rules that op1 judges by.
@@ -21,6 +21,10 @@ def op2_decontam(spark, sf_dir):
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_chat(spark, sf_dir):
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op4_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -47,9 +51,10 @@ def op9_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontam, op4_bpe, op5_substring_dedup, op6_quality, op7_token_store, op8_simhash, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontam, op3_chat, op4_bpe, op5_substring_dedup, op6_quality, op7_token_store, op8_simhash, op9_pii)}
 
 ORACLES = {
+    "op3_chat": chat.ORACLE,
     "op1_url_filter": """
         WITH rules(verdict, rule) AS (VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'), ('block', 'net/es/'), ('block', 'net/fr/')),
         rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
