@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat, decontam, pii, quality, simhash, substring_dedup, token_store, url_filter
+from . import bpe, chat, decontam, html_extract, pii, quality, simhash, substring_dedup, token_store, url_filter
 from .common import shared_dir, table
 
 #: The rules that op1 judges by.
@@ -51,7 +51,11 @@ def op9_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontam, op3_chat, op4_bpe, op5_substring_dedup, op6_quality, op7_token_store, op8_simhash, op9_pii)}
+def op10_html_extract(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontam, op3_chat, op4_bpe, op5_substring_dedup, op6_quality, op7_token_store, op8_simhash, op9_pii, op10_html_extract)}
 
 ORACLES = {
     "op3_chat": chat.ORACLE,
