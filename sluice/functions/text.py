@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,25 +28,41 @@ def matches_any(c: Column | str, patterns: Sequence[str]) -> Column:
     return F.coalesce(col(c).rlike("(?iU)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(False))
 
 
+def quoted(terms: Sequence[str]) -> str:
+    """A pattern of any of the terms as they are."""
+    return "|".join("\\Q" + t.replace("\\E", "") + "\\E" for t in terms if t)
+
+
 def contains_any(c: Column | str, terms: Sequence[str]) -> Column:
-    """Whether any term is a part of the text."""
-    return reduce(or_, (F.contains(col(c), F.lit(t)) for t in terms), F.lit(False))
+    """Whether any term is a part of the text: one pattern, however many terms there are."""
+    return F.coalesce(col(c).rlike(quoted(terms)), F.lit(False)) if any(terms) else F.lit(False)
+
+
+def listed(terms: Sequence[str]) -> Column:
+    """The terms as one literal array, so that the expression's depth does not grow with the lexicon."""
+    return F.array(*(F.lit(t) for t in terms)) if terms else F.array().cast("array<string>")
 
 
 def first_term(c: Column | str, terms: Sequence[str]) -> Column:
     """The first term in list order that is a part of the text, else null."""
-    if not terms:
-        return F.lit(None).cast("string")
-    return F.coalesce(*(F.when(F.contains(col(c), F.lit(t.lower())), F.lit(t)) for t in terms))
+    return F.try_element_at(F.filter(listed(terms), lambda t: F.contains(col(c), F.lower(t))), F.lit(1))
 
 
 def count_terms(c: Column | str, terms: Sequence[str]) -> Column:
     """How many of the terms are a part of the text, however often."""
-    return reduce(lambda a, t: a + F.contains(col(c), F.lit(t)).cast("int"), terms, F.lit(0))
+    return F.array_size(F.filter(listed(terms), lambda t: F.contains(col(c), t))) if terms else F.lit(0)
+
+
+def added(numbers: Sequence[Column]) -> Column:
+    """The sum, as a tree of little depth."""
+    numbers = list(numbers) or [F.lit(0)]
+    while len(numbers) > 1:
+        numbers = [numbers[i] + numbers[i + 1] if i + 1 < len(numbers) else numbers[i] for i in range(0, len(numbers), 2)]
+    return numbers[0]
 
 
 def weighted_terms(c: Column | str, weights: Sequence[tuple[str, int]]) -> Column:
-    return reduce(lambda a, t: a + F.when(F.contains(col(c), F.lit(t[0])), t[1]).otherwise(0), weights, F.lit(0))
+    return added([F.when(F.contains(col(c), F.lit(t)), n).otherwise(0) for t, n in weights])
 
 
 def first_group(c: Column | str, groups: Sequence[tuple[str, Sequence[str]]], default: str | None, patterns: bool = False) -> Column:
@@ -59,14 +73,13 @@ def first_group(c: Column | str, groups: Sequence[tuple[str, Sequence[str]]], de
 
 def count_words_in_context(c: Column | str, terms: Sequence[str], unless: str, around: int = 60) -> Column:
     """How many terms stand as words in the text, unless ``unless`` is found around their first place."""
-    c, total = col(c), F.lit(0)
+    c, found = col(c), []
     for t in terms:
-        word = r"(?U)\b" + "".join(f"\\{x}" if not x.isalnum() and x not in " _" and x.isascii() else x for x in t) + r"\b"
-        at = F.regexp_instr(c, F.lit(word))
+        at = F.regexp_instr(c, F.lit(r"(?U)\b\Q" + t + r"\E\b"))
         begin = F.greatest(at - around, F.lit(1))
         window = F.substring(c, begin, at + len(t) + around - begin)
-        total = total + F.when((at > 0) & ~window.rlike("(?iU)" + unless), 1).otherwise(0)
-    return total
+        found.append(F.when((at > 0) & ~window.rlike("(?iU)" + unless), 1).otherwise(0))
+    return added(found)
 
 
 def normalize(c: Column | str) -> Column:

@@ -91,7 +91,7 @@ def _pieces(n: int, edits: int) -> list[tuple[int, int]]:
 def index_keys(t: str) -> set[str]:
     """The pieces of a text as the shorter of a pair: one of them is unchanged in any similar longer text."""
     n, keys = len(t), set()
-    for edits in {_most_edits(n, m) for m in range(n, n * 11 // 9 + 1)} - {0}:
+    for edits in {e for m in range(n, n * 11 // 9 + 1) if (e := _most_edits(n, m)) > 0}:
         keys |= {f"{n}:{edits}:{i}:{t[a:b]}" for i, (a, b) in enumerate(_pieces(n, edits))}
     return keys
 

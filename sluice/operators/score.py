@@ -8,17 +8,14 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..config import Lexicon, Scoring
 from ..functions import classify, fields, urls
-from ..functions.text import blank_to_null, col, contains_any, lowered
+from ..functions.text import added, blank_to_null, col, contains_any, lowered
 
 PARTS = ("internship", "role_match", "source_quality", "metadata_completeness", "active_status", "field_confidence", "penalty")
 
 
 def points(*rules: tuple[Column, int | Column]) -> Column:
     """The sum of the points of the rules that hold."""
-    total = F.lit(0)
-    for condition, n in rules:
-        total = total + F.when(condition, n).otherwise(0)
-    return total
+    return added([F.when(condition, n).otherwise(0) for condition, n in rules])
 
 
 def first_points(text: Column, rules: list[tuple[str, int]]) -> Column:

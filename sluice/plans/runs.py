@@ -26,24 +26,25 @@ class Settings:
 
 
 def accept(pages: DataFrame, s: Settings, audit_scores: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Accepted rows, scored and without duplicates, and the rejections."""
-    extracted = extract.extract(pages, s.lexicon, s.target, s.location)
-    scored = score.score_pages(extract.accepted(extracted), s.lexicon, s.as_of, s.scoring)
+    """Accepted rows, scored and without duplicates, and the rejections. What is extracted is written once, since it is read several times."""
+    spark = pages.sparkSession
+    extracted = dedupe.kept_table(spark, extract.extract(pages, s.lexicon, s.target, s.location))
+    scored = dedupe.kept_table(spark, score.score_pages(extract.accepted(extracted), s.lexicon, s.as_of, s.scoring))
     rejected = extract.rejected(extracted)
     if audit_scores:
         rejected = rejected.unionByName(extract.below_minimum(scored, s.min_score))
     good = scored.filter(F.col("score") >= s.min_score)
     if "ord" not in good.columns:
         good = good.withColumn("ord", F.xxhash64("url"))
-    good = dedupe.exact(good).withColumn("_id", F.struct("ord", "canonical_key"))
+    good = dedupe.kept_table(spark, dedupe.exact(good))
     pairs = dedupe.similar_pairs(good, "canonical_key", "title", "role", "location")
-    return dedupe.greedy(good.drop("_id"), pairs, "canonical_key", [(-F.col("score")).alias("s"), F.col("ord"), F.col("canonical_key").alias("c")]), rejected
+    return dedupe.greedy(good, pairs, "canonical_key", [(-F.col("score")).alias("s"), F.col("ord"), F.col("canonical_key").alias("c")]), rejected
 
 
 def crawl(listings: DataFrame, details: DataFrame, s: Settings, per_source: int, total: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Listings to links: by target, capped per platform, senior titles out, capped in all; then their details are accepted."""
     links = html.detail_links(listings)
-    links = links.withColumn("target_score", score.link_score(links, s.lexicon, s.target))
+    links = dedupe.kept_table(listings.sparkSession, links.withColumn("target_score", score.link_score(links, s.lexicon, s.target)))
     order = [F.desc("target_score"), F.asc("listing_url"), F.asc("ord")]
     kept = rank.cap(links, "source_platform", order, per_source).filter(classify.passes_early("title")).orderBy(*order).limit(total)
     pages = details.join(kept.select("url").distinct(), "url", "left_semi")
@@ -55,11 +56,11 @@ def research(hits: DataFrame, pages: DataFrame, s: Settings, most: int, listing_
     """Hits are ranked under the platforms' caps; their pages, and those that their listings lead to, are verified and accepted.
     Gives accepted rows, rejections and the ranked hits."""
     scored = hits.withColumn("source_platform", F.coalesce("source_platform", urls.platform("url"))).withColumn("url_score", score.url_score("url", "title", "snippet", "page_type", "source_platform", s.target))
-    ranked = rank.diversified(scored, "source_platform", "url_score", "ord", most, V.PLATFORM_CAPS)
+    ranked = rank.diversified(dedupe.kept_table(hits.sparkSession, scored), "source_platform", "url_score", "ord", most, V.PLATFORM_CAPS)
     fetched = pages.join(ranked.select("url"), "url", "left_semi")
     checked = extract.verified(fetched)
     listings = checked.filter("rejection_reason = 'listing_or_category_url'").select("url", F.col("html_content").alias("html"))
-    links = dedupe.richest_links(html.detail_links(listings))
+    links = dedupe.kept_table(hits.sparkSession, dedupe.richest_links(html.detail_links(listings)))
     follow = links.select("url", "title", F.lit("").alias("snippet"), F.lit("detail").alias("page_type"), "source_platform", "ord", "company")
     follow = follow.withColumn("url_score", score.url_score("url", "title", "snippet", "page_type", "source_platform", s.target))
     chosen = rank.round_robin(follow, "source_platform", "url_score", "ord", most)
@@ -77,7 +78,7 @@ def evaluate(labels: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     labels = labels.withColumn("_row", F.monotonically_increasing_id()).withColumn("_target", classify.target(F.coalesce("target_category", F.lit(s.target)))) if "target_category" in labels.columns else labels.withColumn("_row", F.monotonically_increasing_id()).withColumn("_target", F.lit(classify.target_name(s.target)))
     text = F.concat_ws("\n", *(F.nullif(F.col(c), F.lit("")) for c in ("title", "company", "description", "raw_text", "true_location") if c in labels.columns))
     pages = labels.withColumn("text_content", text).withColumn("page_type", F.lit("detail")).withColumn("ord", F.col("_row"))
-    found = extract.extract(pages, s.lexicon, None, s.location).withColumnRenamed("ord", "_row")
+    found = dedupe.kept_table(pages.sparkSession, extract.extract(pages, s.lexicon, None, s.location)).withColumnRenamed("ord", "_row")
     both = found.join(labels.select("_row", "_target", *(c for c in labels.columns if c.startswith("true_"))), "_row")
     off_title = F.col("_target").isNotNull() & ~classify.is_target_intern_title("title")
     off_target = F.col("_target").isNotNull() & ~F.coalesce(F.when(F.col("_target").isin(*V.TOP_CATEGORIES), F.col("category") == F.col("_target")).otherwise(classify.role_key("role") == F.col("_target")), F.lit(False))

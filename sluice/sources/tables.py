@@ -36,9 +36,9 @@ def normalized_role(c):
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """The rows of the newest export below a folder; none where there is none."""
+    """The rows of the export below a folder that was written last, all its files; none where there is none."""
     try:
-        rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", True).json(root).select("*", "_metadata.file_path", "_metadata.file_modification_time")
+        rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", True).json(root).select("*", F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("file_path"), "_metadata.file_modification_time")
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER" in str(e):
             return spark.createDataFrame([], "id string")
