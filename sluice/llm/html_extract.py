@@ -54,8 +54,8 @@ _MARK = re.compile(r"[.,;:!?]")
 class Node:
     __slots__ = ("tag", "parent", "kinds", "text", "link", "children", "depth", "y", "inputs", "number")
 
-    def __init__(self, tag: str, parent: Node | None, kinds: int, y: int):
-        self.tag, self.parent, self.kinds, self.y = tag, parent, kinds, y
+    def __init__(self, tag: str, parent: Node | None, kinds: int, y: int, number: int = 0):
+        self.tag, self.parent, self.kinds, self.y, self.number = tag, parent, kinds, y, number
         self.text: list[str] = []
         self.link = self.inputs = 0
         self.children: list[Node] = []
@@ -132,7 +132,7 @@ class Tree(HTMLParser):
         while self.stack[-1][0] in _INLINE:  # a block ends the inline elements around it
             self.pop()
         parent = self.stack[-1][1]
-        node = Node(tag, parent, kinds, y)
+        node = Node(tag, parent, kinds, y, len(self.nodes))
         parent.children.append(node)
         self.nodes.append(node)
         self.stack.append((tag, node))
@@ -210,8 +210,6 @@ def _bits(values: list[int], n: int) -> np.ndarray:
 def features(tree: Tree) -> np.ndarray:
     nodes = tree.nodes
     n = len(nodes)
-    for i, node in enumerate(nodes):
-        node.number = i
     parent = [node.parent.number if node.parent else 0 for node in nodes]
     kinds = [node.kinds for node in nodes]
     tags = [1 << t if (t := _TAG.get(node.tag)) is not None else 0 for node in nodes]

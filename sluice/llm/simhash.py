@@ -193,4 +193,4 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **option
     grouped = groups(df, key, text, **options)
     chosen = grouped.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_chosen")).distinct()
     kept = df.join(chosen, df[key].eqNullSafe(chosen["_chosen"]), "left_semi")
-    return kept.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(text))).filter("_n = 1").drop("_n")
+    return kept.withColumn("__place", F.row_number().over(W.partitionBy(key).orderBy(text))).filter("__place = 1").drop("__place")
