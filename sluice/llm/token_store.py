@@ -16,6 +16,7 @@ apart by their occurrence within the shard. Null keys come first. Other columns
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from functools import cache
 
@@ -27,8 +28,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SHARD_IDS = 1_000_000
-REMEMBERED = 400_000
-_GROUP = 128
+REMEMBERED = 600_000
+_GROUP = 512
 _SCHEMA = "part int, shard int, first_key long, last_key long, n_docs int, n_ids long, ids_before long, width int, keys binary, nulls binary, levels binary, fingerprints binary, offsets binary, lengths binary, payload binary"
 
 
@@ -116,15 +117,23 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.now: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
+        """A full stop or comma after a letter or digit is a token of its own, so such words are learnt without it."""
         if len(self.now) > REMEMBERED:
             self.now, self.older = {}, self.now
         new = [w for w in words if (v := self.older.get(w)) is None or self.now.__setitem__(w, v)]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            self.now[w] = np.array(e.ids, self.kind).tobytes()
+        ending = [w for w in new if w[-1] in b".," and w[-2:-1].isalnum() and b"<|" not in w]
+        whole = set(new).difference(ending) | {b".", b","} | {w[:-1] for w in ending}
+        whole = [w for w in whole if w not in self.now and ((v := self.older.get(w)) is None or self.now.__setitem__(w, v))]
+        for w, e in zip(whole, self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)):
+            ids = e.ids
+            self.now[w] = struct.pack(f"<{len(ids)}{self.code}", *ids)
+        for w in ending:
+            self.now[w] = self.now[w[:-1]] + self.now[w[-1:]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """A-Z are lower-cased here already, as the file's normalizer does, but next to a special token."""
