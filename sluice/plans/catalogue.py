@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..config import Lexicon, Role
 from ..functions import classify, fields, html, text, urls
-from ..operators import dedupe, lookup, metrics, rank, score, upsert
+from ..operators import dedupe, extract, lookup, metrics, rank, score, upsert
 from ..sources import export
 from ..streaming import ingest
+from . import runs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -653,3 +654,82 @@ def stream_equals_batch(spark, d):
     return store.read()
 
 
+
+
+# Further predicates, labels and runs
+
+
+@query("SELECT doc_id, NOT (source <> '' AND NOT contains(lower(source), 'intern') AND (contains(lower(source), 'lead ') OR contains(lower(source), 'senior'))) AS passes, (contains(lower(substr(source || chr(10) || substr(text, 1, 800), 1, 100000)), 'intern') AND regexp_matches(lower(source || chr(10) || substr(text, 1, 800)), '\\bintern\\s*/\\s*staff\\b')) AS mixed FROM documents")
+def early_filter_and_mixed(spark, d):
+    return t(spark, d, "documents").select("doc_id", classify.passes_early("source").alias("passes"), fields.is_mixed_employment("source", "text").alias("mixed"))
+
+
+@query(
+    """WITH x AS (SELECT page_id, url, """ + _TITLE + """ AS title, CASE WHEN page_id % 4 = 0 THEN 'listing' ELSE 'detail' END AS page_type FROM pages)
+    SELECT page_id, CASE WHEN regexp_matches(lower(title), '\\b(closed|expired|no longer accepting|not accepting applications|job is no longer available|lowongan ditutup|ditutup|kadaluarsa|tidak menerima lamaran)\\b') THEN 'closed' ELSE 'listing_or_category_url' END AS reason FROM x"""
+)
+def page_verification(spark, d):
+    pages = t(spark, d, "pages").withColumn("title", html.title("html")).withColumn("text_content", F.lit("")).withColumn("page_type", F.when(F.col("page_id") % 4 == 0, "listing").otherwise("detail"))
+    return extract.verified(pages).select("page_id", F.col("rejection_reason").alias("reason"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 0 WHEN s_suppkey % 4 = 1 THEN 90 ELSE 70 END AS confidence FROM supplier")
+def company_confidence(spark, d):
+    k = F.col("s_suppkey") % 4
+    return t(spark, d, "supplier").select("s_suppkey", fields.company_confidence(F.when(k != 0, F.col("s_name")), F.when(k == 1, F.concat(F.lit("Intern, "), "s_name")).otherwise("Intern")).alias("confidence"))
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'ui_ux_designer' WHEN 2 THEN NULL ELSE lower(n_name) END AS label, n_nationkey % 3 = 0 AS truth FROM nation")
+def label_normalize(spark, d):
+    k = F.col("n_nationkey")
+    shown = F.when(k % 4 == 0, "N/A").when(k % 4 == 1, " UI-UX Designer").when(k % 4 == 2, "").otherwise(F.col("n_name"))
+    return t(spark, d, "nation").select("n_nationkey", text.label(shown).alias("label"), text.truth(F.when(k % 3 == 0, " Ya ").otherwise("no")).alias("truth"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'body' ELSE 'snip' END AS snippet, CASE WHEN page_id % 2 = 0 THEN url ELSE 'x' || url END AS url FROM pages WHERE page_id % 5 <> 0")
+def hit_normalize(spark, d):
+    k = F.col("page_id")
+    hits = t(spark, d, "pages").select(k.alias("ord"), F.when(k % 3 != 0, "snip").otherwise("").alias("snippet"), F.lit("body").alias("body"), F.when(k % 5 == 0, F.lit(None)).when(k % 2 == 0, F.col("url")).alias("url"), F.when((k % 2 == 1) & (k % 5 != 0), F.concat(F.lit("x"), "url")).alias("href"))
+    return lookup.normalize_hits(hits).select(F.col("ord").alias("page_id"), "snippet", "url")
+
+
+@query("SELECT c_mktsegment AS rejection_reason, count(*) AS n FROM customer WHERE c_acctbal < 40 GROUP BY 1")
+def min_score_audit(spark, d):
+    rows = t(spark, d, "customer").select(F.col("c_name").alias("url"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("source_platform"), F.lit("detail").alias("page_type"), F.lit(0).alias("internship_confidence"), F.lit(0).alias("role_confidence"), F.col("c_acctbal").alias("score"), F.lit("").alias("raw_text"))
+    return extract.below_minimum(rows, 40).groupBy(F.col("source_platform").alias("rejection_reason")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_brand IN ('Brand#1', 'Brand#2') AND p_size >= 10 AND list_has_all(regexp_split_to_array(lower(p_name || ' ' || p_brand || ' ' || p_type), '[^\\p{L}\\p{N}_]+'), ['ring'])")
+def field_filters(spark, d):
+    rows = t(spark, d, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_brand").alias("company"), F.col("p_type").alias("role"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("location"), F.col("p_size").alias("score"))
+    return lookup.filter_fields(rows, "ring", 10, company=["Brand#1", "Brand#2"]).select("p_partkey")
+
+
+@query("SELECT 'q' || n AS name, p_partkey AS id FROM part JOIN (VALUES (1, 'ring', 30), (2, 'red', 40)) w(n, k, s) ON list_contains(regexp_split_to_array(lower(p_name || ' ' || p_brand || ' ' || p_type), '[^\\p{L}\\p{N}_]+'), k) AND p_size >= s")
+def watch_lists(spark, d):
+    lists = spark.createDataFrame([("q1", "Ring", 30), ("q2", "red", 40)], "name string, keyword string, min_score int")
+    return lookup.watch(lists, t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("company"), F.col("p_type").alias("role"), F.col("p_size").alias("score")))
+
+
+@query()
+def extract_documents(spark, d):
+    """The whole extractor over documents as pages, with the fixture lexicon: accepted rows and rejections by reason."""
+    pages = t(spark, d, "documents").select(F.concat(F.lit("https://x.example/job/"), F.col("doc_id").cast("string")).alias("url"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("text_content"), F.lit("detail").alias("page_type"))
+    found = extract.extract(pages, LEXICON)
+    return found.groupBy(F.coalesce(F.split("rejection_reason", ":")[0], F.lit("accepted")).alias("outcome"), "role").agg(F.count("*").alias("n"))
+
+
+@query()
+def listing_links(spark, d):
+    """Links to details on pages, by the generic rule with the pages' own anchors."""
+    pages = t(spark, d, "pages").select(F.col("url"), F.replace("html", F.lit('href="/'), F.lit('href="/job/')).alias("html"))
+    return html.detail_links(pages).select("listing_url", "url", "discovery_method")
+
+
+@query("SELECT count(*) AS searched_urls, count(DISTINCT event_type) AS platforms, count(*) FILTER (WHERE value >= 50) AS accepted FROM events")
+def run_metadata(spark, d):
+    hits = t(spark, d, "events").select(F.col("event_type").alias("source_platform"), F.lit("r").alias("rejection_reason"), "value")
+    good = hits.filter("value >= 50")
+    one = runs.run_metadata(hits, good, good, good, hits.filter("value < 50"))
+    accepted = F.aggregate(F.map_values("accepted_by_platform"), F.lit(0).cast("long"), lambda a, b: a + b)
+    return one.select("searched_urls", F.size("platforms_with_hits").cast("long").alias("platforms"), accepted.alias("accepted"))

@@ -75,7 +75,9 @@ def research(hits: DataFrame, pages: DataFrame, s: Settings, most: int, listing_
 
 def evaluate(labels: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """Predictions for labelled rows, and their confusion matrix. A row's own target comes before the run's."""
-    labels = labels.withColumn("_row", F.monotonically_increasing_id()).withColumn("_target", classify.target(F.coalesce("target_category", F.lit(s.target)))) if "target_category" in labels.columns else labels.withColumn("_row", F.monotonically_increasing_id()).withColumn("_target", F.lit(classify.target_name(s.target)))
+    own = F.coalesce("target_category", F.lit(s.target)) if "target_category" in labels.columns else F.lit(s.target).cast("string")
+    numbered = labels.withColumn("_row", F.monotonically_increasing_id()).withColumn("_target", classify.target(own))
+    labels = dedupe.kept_table(labels.sparkSession, numbered)  # so that the numbers stay
     text = F.concat_ws("\n", *(F.nullif(F.col(c), F.lit("")) for c in ("title", "company", "description", "raw_text", "true_location") if c in labels.columns))
     pages = labels.withColumn("text_content", text).withColumn("page_type", F.lit("detail")).withColumn("ord", F.col("_row"))
     found = dedupe.kept_table(pages.sparkSession, extract.extract(pages, s.lexicon, None, s.location)).withColumnRenamed("ord", "_row")

@@ -77,7 +77,7 @@ TARGET_ALIASES = {
 MONTHS = (("januari", "January"), ("februari", "February"), ("maret", "March"), ("april", "April"), ("mei", "May"), ("juni", "June"), ("juli", "July"), ("agustus", "August"), ("september", "September"), ("oktober", "October"), ("november", "November"), ("desember", "December"))
 DEADLINE_WORDS = ("deadline", "batas akhir", "penutupan", "ditutup", "apply before", "closed")
 DATES = (
-    r"\b\d{1,2}\s+(?:Januari|Februari|Maret|April|Mei|Juni|Juli|Agustus|September|Oktober|November|Desember|January|February|March|May|June|July|August|October|December)\s+\d{4}\b",
+    r"\b\d{1,2}\s+(?:Januari|Februari|Maret|April|Mei|Juni|Juli|Agustus|September|Oktober|November|Desember|January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4}\b",
     r"\b\d{4}-\d{2}-\d{2}\b",
     r"\b\d{1,2}[/\-]\d{1,2}[/\-]\d{4}\b",
 )
