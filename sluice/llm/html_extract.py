@@ -19,8 +19,9 @@ from functools import cache
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_text
@@ -289,11 +290,11 @@ def _read_tree(lines: list[str]) -> list[list[float]]:
 
 @cache
 def _trained(app: str, n: int, seed: int) -> Forest:
-    spark, rows = SparkSession.getActiveSession(), []
-    for html in pages(n, seed):
-        tree = parse(html)
-        rows += [(float(node.y), Vectors.dense(f)) for node, f in zip(tree.nodes, features(tree))]
-    data = spark.createDataFrame(rows, ["label", "features"]).coalesce(1)
+    spark, trees = SparkSession.getActiveSession(), [parse(html) for html in pages(n, seed)]
+    x = np.concatenate([features(t) for t in trees])
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+    rows = spark.createDataFrame(pa.table({"label": pa.array([float(node.y) for t in trees for node in t.nodes]), "x": flat}))
+    data = rows.select("label", array_to_vector("x").alias("features")).repartition(4)
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=seed).fit(data)
     return Forest([(float(w), _read_tree(t.toDebugString.splitlines()[1:])) for w, t in zip(model.treeWeights, model.trees)])
 
