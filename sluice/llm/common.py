@@ -64,6 +64,16 @@ def map_text(df: DataFrame, columns: list[str], schema: str, rows: Callable[[dic
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
 
 
+def one_row_a_group(df: DataFrame, named: DataFrame, key: str, text: str) -> DataFrame:
+    """Of each group one row of ``df``: that of the least key, nulls last, and then of the least hash of its text. named: ``key``, th, root."""
+    least = named.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("th").alias("h"))).alias("s"))
+    chosen = least.select(F.col("s.k").alias("__k"), F.col("s.h").alias("__h"))
+    kept = df.join(chosen, df[key].eqNullSafe(chosen["__k"]) & (F.xxhash64(df[text]) == chosen["__h"]), "left_semi")
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    once = kept.groupBy(F.col(key).alias("__k"), F.xxhash64(text).alias("__h")).agg(F.min_by(row, F.xxhash64(row)).alias("__row"))
+    return once.select(*(F.col("__row").getField(c).alias(c) for c in df.columns))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; only where it is unset (tests) a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sluice.llm import bpe, chat, components, decontam, html_extract, html_train, pii, quality, queries, simhash, substring_dedup, token_store, url_filter
+from sluice.llm import bpe, chat, components, decontam, html_extract, html_train, near_copies, pii, quality, queries, simhash, substring_dedup, token_store, url_filter
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omikron pi rho sigma tau upsilon phi chi psi omega".split()
 
@@ -297,6 +297,25 @@ def test_links_are_exact(spark, hot):
     assert {tuple(sorted(p)) for p in simhash.links(df, hot=hot).collect()} == want
 
 
+@pytest.mark.parametrize("nearest", [near_copies.NEXT, 1])
+def test_near_copies_against_brute_force(spark, nearest):
+    r = random.Random(11)
+    texts = [prose(100 + i, r.choice([3, 12, 60, 300])) for i in range(30)] + [None, "", " ", "one", "One"]
+    for t in texts[:20]:
+        for _ in range(8):
+            w = t.split()
+            for _ in range(r.randint(0, max(1, len(w) // 40))):
+                w[r.randrange(len(w))] = "changed"
+            texts.append(" ".join(w))
+    sets = [set(near_copies.shingles(t).tolist()) for t in texts]
+    alike = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])]
+    fp = [simhash.fingerprint(t) & (2**64 - 1) for t in texts]
+    assert any((fp[i] ^ fp[j]).bit_count() > simhash.BITS for i, j in links)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {x.doc_id for x in near_copies.one_of_each(df, nearest=nearest).collect()} == set(roots(len(texts), links))
+
+
 def test_components(spark):
     r = random.Random(3)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
