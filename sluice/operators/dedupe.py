@@ -122,8 +122,8 @@ def _keyed(df: DataFrame, keys) -> DataFrame:
 def similar_pairs(df: DataFrame, key: str, title: str, role: str | None = None, place: str | None = None) -> DataFrame:
     """a < b: pairs of rows of similar titles: an indel ratio beyond 90 with equal role or place, or beyond 95.
 
-    Rows of equal titles, roles and places are one class, of which each is linked to the first alone, so copies make no
-    pairs of each other. Distinct titles meet by unchanged pieces: a title that so few edits turn into a longer one has, cut into one more piece
+    Rows of equal titles, roles and places are one class, of which each is linked to the first alone (``copy``), so copies make no
+    pairs of each other; other classes are linked by their firsts. Distinct titles meet by unchanged pieces: a title that so few edits turn into a longer one has, cut into one more piece
     than edits, a piece that the longer one holds near the same place. So no group of titles is compared all with all.
     """
     named = df.select(F.col(key).alias("k"), normalize(title).alias("t"), (normalize(role) if role else F.lit("")).alias("r"), (normalize(place) if place else F.lit("")).alias("p"))
@@ -136,21 +136,30 @@ def similar_pairs(df: DataFrame, key: str, title: str, role: str | None = None,
     same = texts.select(F.col("t").alias("t1"), F.col("t").alias("t2"), F.lit(100.0).alias("ratio"))
     side = lambda n: classes.select(*(F.col(c).alias(f"{c}{n}") for c in "trpk"))
     both = alike.unionByName(same).join(side(1), "t1").join(side(2), "t2").filter("k1 != k2").filter("r1 = r2 OR p1 = p2 OR ratio > 95")
-    return both.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct().union(copies)
+    return both.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct().select("a", "b", F.lit(False).alias("copy")).union(copies.select("a", "b", F.lit(True)))
 
 
 def greedy(df: DataFrame, pairs: DataFrame, key: str, order: list) -> DataFrame:
     """Rows in order, each kept unless it is similar to one kept before.
 
     The same as going through the rows one by one, done in rounds: a row whose earlier neighbours have all been dropped is kept, and what
-    a kept row is similar to is dropped. pairs: (a, b) keys.
+    a kept row is similar to is dropped. pairs: (a, b) keys; where ``copy`` tells that b is a copy of a, the first of its class, all of the class have
+    the neighbours of a. Then only the earliest of each class by ``order`` is gone through, and its copies are dropped: if it is not kept, they are similar to the same row.
     """
     spark = df.sparkSession
     ranked = df.select(F.col(key).alias("k"), F.struct(*order).alias("o"))
+    dropped = None
+    if "copy" in pairs.columns:
+        pairs = kept_table(spark, pairs)
+        copies = pairs.filter("copy").select(F.col("a").alias("class"), F.col("b").alias("k"))
+        members = kept_table(spark, copies.union(copies.select("class", F.col("class").alias("k")).distinct()).join(ranked, "k"))
+        earliest = kept_table(spark, members.groupBy("class").agg(F.min_by("k", "o").alias("head")))
+        dropped = kept_table(spark, members.join(earliest, "class").filter("k != head").select("k"))
+        head = lambda c: earliest.select(F.col("class").alias(c), F.col("head").alias(f"h{c}"))
+        pairs = pairs.filter("NOT copy").join(head("a"), "a", "left").join(head("b"), "b", "left").select(F.coalesce("ha", "a").alias("a"), F.coalesce("hb", "b").alias("b"))
     edges = pairs.join(ranked.withColumnRenamed("k", "a").withColumnRenamed("o", "oa"), "a").join(ranked.withColumnRenamed("k", "b").withColumnRenamed("o", "ob"), "b")
     first = F.col("oa") < F.col("ob")
     open_ = kept_table(spark, edges.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late")))
-    dropped = None
     while not open_.isEmpty():
         kept = open_.select(F.col("early").alias("k")).join(open_.select(F.col("late").alias("k")), "k", "left_anti").distinct()
         lost = kept_table(spark, open_.join(kept, open_.early == kept.k, "left_semi").select(F.col("late").alias("k")).distinct())

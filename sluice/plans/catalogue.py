@@ -397,7 +397,7 @@ def _names(spark, d):
 
 @query()
 def fuzzy_dup_pairs(spark, d):
-    return dedupe.similar_pairs(_names(spark, d), "doc_id", "title", "role")
+    return dedupe.similar_pairs(_names(spark, d), "doc_id", "title", "role").select("a", "b")
 
 
 @query()

@@ -124,6 +124,19 @@ def test_fuzzy_against_brute_force(spark):
     assert dedupe.indel_ratio("kitten", "sitting") == pytest.approx(indel("kitten", "sitting"))
 
 
+def test_greedy_drops_copies_of_a_dropped_row(spark):
+    x, r = "frontend developer intern jakarta", "frontend developer intern jakartas"
+    rows = [(1, x, 5), (2, r, 4), (3, r, 3), (4, r, 9), (5, "cook", 1), (6, "cook", 2), (7, "cook", 1)]
+    df = spark.createDataFrame(rows, "id long, title string, score int")
+    pairs = dedupe.similar_pairs(df, "id", "title")
+    for order, by in (([F.col("id")], lambda v: v[0]), ([(-F.col("score")).alias("s"), F.col("id")], lambda v: (-v[2], v[0])), ([(-F.col("id")).alias("i")], lambda v: -v[0])):
+        kept = []
+        for v in sorted(rows, key=by):
+            if not any(dedupe.indel_ratio(v[1], k[1]) > 90 for k in kept):
+                kept.append(v)
+        assert {v.id for v in dedupe.greedy(df, pairs, "id", order).collect()} == {v[0] for v in kept}
+
+
 def test_exact_dedupe_keeps_best(spark):
     df = spark.createDataFrame([("https://a.example/1?ref=x", "T", "C", None, None, 80, 0), ("https://a.example/1", "T", "C", None, None, 90, 1), (None, "T", "C", None, None, 85, 2), ("", "Z", None, None, None, 1, 3)], "source_url string, title string, company string, role string, location string, score int, ord int")
     assert {r.score for r in dedupe.exact(df).collect()} == {90, 1}
