@@ -24,10 +24,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, durable, map_text
+from .common import BATCH_ROWS, durable, map_text, one_row_a_group
 from .components import components
 
 BITS = 3
@@ -178,19 +177,23 @@ def links(distinct: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
     return found.filter("b IS NOT NULL").union(fine.mapInArrow(_link(FINE, False, bits, 1 << 62), "a long, b long"))
 
 
+def _named(marked: DataFrame, key: str, bits: int, hot: int) -> DataFrame:
+    """Of each fingerprint its least key ``first`` and the root of its group."""
+    first = marked.groupBy("fp").agg(F.min(key).alias("first"))
+    roots = components(links(first, bits, hot))
+    return first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, bits: int = BITS, hot: int = HOT) -> DataFrame:
     """``key``, fingerprint (16 hex digits), component_id: the smallest key that links reach, itself included."""
     marked = durable(fingerprints(df, key, text, size))
-    first = marked.groupBy("fp").agg(F.min(key).alias("first"))
-    roots = components(links(first, bits, hot))
-    named = first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = _named(marked, key, bits, hot)
     joined = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return marked.join(joined, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows whose key is the smallest of their group, with all their columns; of rows of equal key the one of the least text."""
-    grouped = groups(df, key, text, **options)
-    chosen = grouped.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_chosen")).distinct()
-    kept = df.join(chosen, df[key].eqNullSafe(chosen["_chosen"]), "left_semi")
-    return kept.withColumn("__place", F.row_number().over(W.partitionBy(key).orderBy(text))).filter("__place = 1").drop("__place")
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, bits: int = BITS, hot: int = HOT) -> DataFrame:
+    """Of each group the row of the smallest key, nulls last, with all its columns; of rows of equal key that of the least hash of its text."""
+    rows = lambda part: {key: part[key], "th": part["th"], "fp": [fingerprint(t, size) for t in part[text]]}
+    marked = durable(map_text(df.withColumn("th", F.xxhash64(text)), [key, "th", text], f"{key} long, th long, fp long", rows, text))
+    return one_row_a_group(df, marked.join(_named(marked, key, bits, hot), "fp").select(key, "th", "root"), key, text)

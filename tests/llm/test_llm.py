@@ -281,6 +281,14 @@ def test_simhash(docs, none):
     assert simhash.groups(none).count() == 0 and simhash.one_of_each(none).count() == 0
 
 
+@pytest.mark.parametrize("one_of_each", [simhash.one_of_each, near_copies.one_of_each])
+def test_each_group_keeps_a_row_of_repeated_or_null_keys(spark, one_of_each):
+    a, b, c, d = (prose(s, 40) for s in (61, 62, 63, 64))
+    rows = [(5, a), (7, a), (2, b), (5, b), (None, c), (None, c), (None, d), (9, d)]
+    kept = [(r.doc_id, r.text) for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    same(kept, [(5, a), (2, b), (None, c), (9, d)])
+
+
 @pytest.mark.parametrize("hot", [simhash.HOT, 20])
 def test_links_are_exact(spark, hot):
     r = random.Random(7)
