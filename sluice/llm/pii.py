@@ -30,6 +30,8 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
+#: What every candidate's text holds: a digit or a cue of the password pattern.
+_CUE = re.compile(r"(?i)[0-9]|password|passwd|pwd|token|secret|api_?key")
 _NOT_DIGIT = re.compile("[^0-9]+")
 #: Wider patterns: kind, pattern; the span is the last group, if any.
 _WIDER = (
@@ -113,6 +115,11 @@ def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int,
     return out
 
 
+def candidates_of(text: str | None, base: list[list[tuple[int, int]]]) -> list[tuple[int, int, int, int]]:
+    """The candidates beside the base spans; only texts without digit and cue are passed over."""
+    return candidates(text, [s for spans in base for s in spans]) if text and _CUE.search(text) else []
+
+
 def features(kinds: np.ndarray, patterns: np.ndarray) -> np.ndarray:
     """Of each candidate: its kind, and each labeler's vote for and against."""
     votes = np.stack([patterns // 3**j % 3 for j in reversed(range(LABELERS))], axis=1)
@@ -161,7 +168,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         for t in part[text]:
             base = base_spans(t or "")
             flat = [x for k, spans in enumerate(base) for s, e in spans for x in (k, s, e)]
-            more = candidates(t, [s for spans in base for s in spans]) if t and _DIGIT.search(t) else []
+            more = candidates_of(t, base)
             out["bases"].append(flat)
             out["added"].append([x for c in more for x in c])
         return out
@@ -229,9 +236,9 @@ def mask(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 5
             texts = []
             for value in batch.column(at):
                 t = value.as_py()
-                if t and ("@" in t or _DIGIT.search(t)):
+                if t and ("@" in t or _CUE.search(t)):
                     base = base_spans(t)
-                    more = candidates(t, [s for spans in base for s in spans])
+                    more = candidates_of(t, base)
                     t = masked(t, choose([x for k, spans in enumerate(base) for s, e in spans for x in (k, s, e)], [x for c in more for x in c], beta))
                 texts.append(t)
             yield batch.set_column(at, text, pa.array(texts, pa.string()))

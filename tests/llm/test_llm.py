@@ -354,6 +354,12 @@ def test_pii(spark, none):
     assert pii.find(none).count() == 0 and pii.mask(none).count() == 0
 
 
+def test_secrets_in_texts_without_digits(spark):
+    text = "the password = correct_horse_battery stays"
+    found = pii.scan(spark.createDataFrame([(1, text), (2, "no such words")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [list(r.added[:3]) for r in found] == [[pii.KINDS.index("secret"), 15, 36], []]
+
+
 def test_emails_equal_the_pattern():
     import re
 
