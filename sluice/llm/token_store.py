@@ -15,21 +15,26 @@ apart by their occurrence within the shard. Null keys come first. Other columns
 
 from __future__ import annotations
 
+import json
 import os
-import struct
+import string
 import zlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import slices
+
 SHARD_IDS = 1_000_000
-REMEMBERED = 600_000
-_GROUP = 512
+#: Words that a Python worker remembers.
+REMEMBERED = 900_000
 _SCHEMA = "part int, shard int, first_key long, last_key long, n_docs int, n_ids long, ids_before long, width int, keys binary, nulls binary, levels binary, fingerprints binary, offsets binary, lengths binary, payload binary"
 
 
@@ -105,9 +110,27 @@ def fingerprint(hashes: np.ndarray) -> np.ndarray:
 
 # Encoding: no token crosses white space, so each distinct word is encoded once and remembered.
 
+#: What a tokenizer's file must say for words to be encoded one by one; other files' texts go to the library whole.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: A run of these is one piece beside letters. The apostrophe may begin a piece of its own.
+_SIGNS = string.punctuation.replace("'", "")
+#: Letters below this stay as they are in NFC, and all but the second become one letter each in lower case.
+_PLAIN, _DOTTED = "\u0300", "\u0130"
+#: Characters of a text that are encoded at once.
+_LONG = 4_000_000
+
+
+def by_words(file: dict) -> bool:
+    """Whether a tokenizer's file lets each word be encoded for itself."""
+    model, plain = file["model"], all(not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in file["added_tokens"])
+    split = {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
+    return plain and file["normalizer"] == _NORMALIZER and file["pre_tokenizer"] == split and model["type"] == "BPE" and not model["dropout"] and not model["ignore_merges"]
+
 
 class WordIds:
-    """A word's ids, as bytes of ``width`` each, by the tokenizers library."""
+    """Texts' ids by the tokenizers library, as bytes of ``width`` each. The ids of the words that are known lie one after the other in ``arena``."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -116,40 +139,107 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        file = json.loads(self.tokenizer.to_str())
+        self.specials = [t["content"] for t in file["added_tokens"]]
+        self.words = by_words(file)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
-        self.code = "H" if self.kind.itemsize == 2 else "I"
-        self.now: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        """A full stop or comma after a letter or digit is a token of its own, so such words are learnt without it."""
-        if len(self.now) > REMEMBERED:
-            self.now, self.older = {}, self.now
-        new = [w for w in words if (v := self.older.get(w)) is None or self.now.__setitem__(w, v)]
-        ending = [w for w in new if w[-1] in b".," and w[-2:-1].isalnum() and b"<|" not in w]
-        whole = set(new).difference(ending) | {b".", b","} | {w[:-1] for w in ending}
-        whole = [w for w in whole if w not in self.now and ((v := self.older.get(w)) is None or self.now.__setitem__(w, v))]
-        for w, e in zip(whole, self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)):
-            ids = e.ids
-            self.now[w] = struct.pack(f"<{len(ids)}{self.code}", *ids)
-        for w in ending:
-            self.now[w] = self.now[w[:-1]] + self.now[w[-1:]]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """A-Z are lower-cased here already, as the file's normalizer does, but next to a special token."""
-        words = [(t.encode() if "<|" in t else t.encode().lower()).split() if t else [] for t in texts]
-        flat = [w for ws in words for w in ws]
-        found = list(map(self.now.get, flat))
+        if self.words:
+            normal, split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.letters = {i: "".join(p for p, _ in split(normal(chr(i)))) for i in range(ord(_PLAIN)) if chr(i).isalpha()}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.arena, self.used = np.empty(1 << 16, self.kind), 0
+        self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def add(self, ids: list[list[int]]) -> None:
+        """The ids of the words that ``known`` has got since."""
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+        n, total = len(self.known), int(sizes.sum())
+        while n > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+        while self.used + total > len(self.arena):
+            self.arena = np.resize(self.arena, 2 * len(self.arena))
+        self.starts[n - len(ids) : n], self.lengths[n - len(ids) : n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.arena[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), self.kind, total)
+        self.used += total
+
+    def learn(self, words: list[str]) -> None:
+        """Letters with signs before or behind them are learnt in three pieces, all else as a text of its own."""
+        known, base, new, rest, model = self.known, len(self.known), [], [], self.tokenizer.model
+
+        def piece(p: str) -> list[int]:
+            n = known.get(p)
+            if n is None:
+                known[p] = base + len(new)
+                new.append([t.id for t in model.tokenize(p if p.isascii() else p.translate(self.letters))] if p else [])
+                return new[-1]
+            return new[n - base] if n >= base else self.arena[self.starts[n] : self.starts[n] + self.lengths[n]].tolist()
+
+        for w in words:
+            core = w.strip(_SIGNS)
+            if not core or core.isalpha() and (core.isascii() or max(core) < _PLAIN and _DOTTED not in core):
+                ids = piece(core or w)
+                if core and core != w:
+                    head = w[: w.find(core)]
+                    ids = piece(head) + ids + piece(w[len(head) + len(core) :])
+                    known[w] = base + len(new)
+                    new.append(ids)
+            else:
+                rest.append(w)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            known[w] = base + len(new)
+            new.append(e.ids)
+        self.add(new)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        found = list(map(self.known.get, words))
         if None in found:
-            self.learn({w for w, f in zip(flat, found) if f is None})
-            found = [f if f is not None else self.now[w] for w, f in zip(flat, found)]
-        out, at = [], 0
-        for ws in words:
-            out.append(b"".join(found[at : at + len(ws)]))
-            at += len(ws)
+            missing = [i for i, f in enumerate(found) if f is None]
+            self.learn([words[i] for i in missing])
+            for i in missing:
+                found[i] = self.known[words[i]]
+        return np.array(found, np.int64)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        texts = pc.fill_null(texts, "")
+        odd = np.full(len(texts), not self.words)
+        for s in self.specials:
+            odd |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        long = pc.greater(pc.utf8_length(texts), _LONG).to_numpy(zero_copy_only=False) & ~odd
+        # A-Z are lower-cased here already, as the file's normalizer does
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(pa.array(odd | long), "", texts)))
+        coded = lists.values.dictionary_encode()
+        number = self.numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        lengths = self.lengths[number]
+        ends = np.cumsum(lengths, dtype=np.int64)
+        places = np.repeat(self.starts[number] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+        data, width = self.arena[places].tobytes(), self.kind.itemsize
+        cut = (np.append(0, ends)[lists.offsets.to_numpy()] * width).tolist()
+        out = [data[a:b] for a, b in zip(cut, cut[1:])]
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self.whole([texts[i].as_py()])[0]
+        for i in np.flatnonzero(long).tolist():
+            out[i] = b"".join(x for part in _parts(texts[i].as_py()) for x in self.encode(pa.array([part])))
         return out
 
 
+def _parts(text: str):
+    """A long text in parts that end at spaces; one without spaces is one part."""
+    at = 0
+    while at < len(text):
+        end = len(text) if len(text) - at <= _LONG else text.rfind(" ", at, at + _LONG) + 1
+        end = end if end > at else (text.find(" ", at) + 1 or len(text))
+        yield text[at:end]
+        at = end
+
+
 @cache
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
@@ -181,9 +271,8 @@ def _shards(path: str, end_id: int, most: int):
             return pa.RecordBatch.from_arrays([pa.array([v], kinds.get(k, pa.binary())) for k, v in row.items()], names=list(row))
 
         for batch in batches:
-            for at in range(0, len(batch), _GROUP):
-                piece = batch.slice(at, _GROUP)
-                for key, data in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist())):
+            for piece in slices(batch, "text"):
+                for key, data in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1))):
                     keys.append(key)
                     ids.append(data + end)
                     held += len(ids[-1]) // width
@@ -256,19 +345,21 @@ def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
-    """key, ids of the given keys that the store has; only shards whose key range holds one are read."""
+    """key, ids: a row for each document of the given keys, those of equal keys included; only shards whose key range may hold one are read."""
     store = spark.read.schema(_SCHEMA).parquet(path)
-    near = F.lit(False)
-    for k in keys:
-        near = near | F.lit(k).between(F.col("first_key"), F.col("last_key"))
     wanted = np.array(sorted(set(keys)), np.int64)
+    if not len(wanted):
+        return spark.createDataFrame([], "key long, ids array<long>")
+    near = store.filter((F.col("first_key") <= int(wanted[-1])) & (F.col("last_key") >= int(wanted[0])))
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                s = Shard(row)
-                slots = s.find(key_hashes(wanted, np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)))
-                hit = np.flatnonzero(slots >= 0)
-                yield pa.RecordBatch.from_arrays([pa.array(wanted[hit]), pa.array([s.get(k).tolist() for k in slots[hit].tolist()], pa.list_(pa.int64()))], names=["key", "ids"])
-
-    return store.filter(near).mapInArrow(run, "key long, ids array<long>")
+                s, left, n = Shard(row), wanted, 0
+                while len(left):  # the n-th row of each key
+                    slots = s.find(key_hashes(left, np.zeros(len(left), bool), np.full(len(left), n)))
+                    hit = np.flatnonzero(slots >= 0)
+                    left, n = left[hit], n + 1
+                    yield pa.RecordBatch.from_arrays([pa.array(left), pa.array([s.get(k).tolist() for k in slots[hit].tolist()], pa.list_(pa.int64()))], names=["key", "ids"])
+
+    return near.mapInArrow(run, "key long, ids array<long>")
