@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,9 +78,11 @@ def one_row_a_group(df: DataFrame, named: DataFrame, key: str, text: str) -> Dat
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests) a temporary folder."""
+    """spark.checkpoint.dir of the session; only where it is unset on a local master (tests) a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='sluice-')}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
@@ -89,6 +94,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
 
 
+def ship(df: DataFrame) -> tuple[str, ...]:
+    """Have each executor that needs them fetch the rows' files, once; gives their names there. The rows do not pass the driver."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    files = df.sparkSession.read.schema(df.schema).parquet(path).inputFiles()
+    for f in files:
+        df.sparkSession.sparkContext.addFile(f)
+    return tuple(f.rsplit("/", 1)[-1] for f in files)
+
+
+def shipped(name: str) -> pa.Table:
+    """In a task: the rows of a shipped file."""
+    return pq.read_table(SparkFiles.get(name))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows, computed once and written to the shared folder, so that a lost executor loses none of them."""
     path = shared_dir(df.sparkSession)
