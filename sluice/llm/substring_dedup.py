@@ -4,15 +4,16 @@ A passage of ``window`` words that occurs twice holds, in either place, a whole
 non-overlapping blocks of ``block`` = (window + 1) // 2 words, and the other place has that block's words as a rolling window.
 
 1. Anchors: the blocks are the index; every rolling window of ``block`` words of every text probes it. Index and
-   probes meet by ranges of their hash. A block that any other place probes is a hit.
-2. Extension: around the hits of a text, all windows of ``window`` words that hold a hit block are hashed with 64 bits;
-   those found twice or more, anywhere, are exact repeats. Overlapping ones make up the maximal repeats, and all words
-   under them go, judged on the input.
+   probes meet by ranges of their hash. A block that any other place probes is a hit. The probes of a range are held, its
+   blocks stream past them.
+2. Extension: a hit grows into the windows of ``window`` words that hold its block. Two independent 64-bit hashes of their words
+   stand for a window, 128 bits in all (among 10^13 windows a chance pair is expected with a probability of 2e-13); those found twice or more,
+   anywhere, are exact repeats. Overlapping ones make up the maximal repeats, and all words under them go, judged on the input.
 
 Hashes travel as sorted, delta-coded sets of a batch of texts, each at most once for a batch, so a passage that a third of
 all texts share costs one entry a batch. Repeats come back as one bit for each entry, which the batch then maps to its
 places. The anchors' hashes are as long as the corpus needs for about one chance hit in a thousand, which the extension
-then turns down.
+then turns down. There is a range of hashes for each ``bucket_bytes`` of text at most, so what a task holds does not grow with the corpus.
 
 Null text counts as empty. Texts shorter than a window lose nothing. Repeated rows are different documents, so they lose
 what they share (texts are told apart by a 64-bit hash of key and text; equal rows lose the same words). Other columns
@@ -36,8 +37,11 @@ from .common import durable, sha256, words_of
 FLUSH = 2_000_000
 #: Words of a batch of the extension.
 BATCH = 1_000_000
+#: Bytes of text for which there is a range of hashes.
+BUCKET_BYTES = 64_000_000
 REMEMBERED = 400_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
+_SECOND = 0xD6E8FEB86659FD93
 
 
 class _WordHashes(dict):
@@ -55,11 +59,11 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
-def rolling(words: np.ndarray, size: int) -> np.ndarray:
+def rolling(words: np.ndarray, size: int, multiplier: int = _MULTIPLIER) -> np.ndarray:
     """The hash of each run of ``size`` words, from the hashes of runs half as long."""
     if len(words) < size:
         return words[:0]
-    have, k, run, power = None, 0, words, _MULTIPLIER
+    have, k, run, power = None, 0, words, multiplier
     length = 1
     while True:
         if size & length:
@@ -67,7 +71,7 @@ def rolling(words: np.ndarray, size: int) -> np.ndarray:
                 have, k = run, length
             else:  # run before what there is
                 n = len(words) - length - k + 1
-                have = run[:n] * np.uint64(pow(_MULTIPLIER, k, 1 << 64)) + have[length : length + n]
+                have = run[:n] * np.uint64(pow(multiplier, k, 1 << 64)) + have[length : length + n]
                 k += length
         if 2 * length > size:
             break
@@ -143,15 +147,16 @@ def _anchors(window: int, block: int, bits: int, buckets: int):
             order = np.argsort(blocks, kind="stable")
             blocks, owners, number = blocks[order], owners[order], number[order].astype(np.int32)
             p, q = cuts(probes, bits, buckets), cuts(blocks, bits, buckets)
-            for k in range(buckets):
-                a, b, c, d = p[k], p[k + 1], q[k], q[k + 1]
-                if b > a:
-                    yield k, pack(probes[a:b]), pack(blocks[c:d]), owners[c:d].tobytes(), number[c:d].tobytes()
+            for k in np.flatnonzero(p[1:] > p[:-1]).tolist():
+                yield k, False, pack(probes[p[k] : p[k + 1]]), None, None
+            for k in np.flatnonzero(q[1:] > q[:-1]).tolist():
+                c, d = q[k], q[k + 1]
+                yield k, True, pack(blocks[c:d]), owners[c:d].tobytes(), number[c:d].tobytes()
 
         def give(rows):
             for at in range(0, len(rows), 64):
                 piece = list(zip(*rows[at : at + 64]))
-                yield pa.RecordBatch.from_arrays([pa.array(piece[0], pa.int32()), *(pa.array(x, pa.binary()) for x in piece[1:])], names=["bucket", "probes", "blocks", "owners", "numbers"])
+                yield pa.RecordBatch.from_arrays([pa.array(piece[0], pa.int32()), pa.array(piece[1], pa.bool_()), *(pa.array(x, pa.binary()) for x in piece[2:])], names=["bucket", "index", "hashes", "owners", "numbers"])
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -160,7 +165,7 @@ def _anchors(window: int, block: int, bits: int, buckets: int):
                     keys.append(key)
                     parts.append(hash_words(words))
                     held += len(words)
-                    if held >= FLUSH:
+                    if held >= max(FLUSH, 16 * buckets):
                         yield from give(list(flush()))
                         keys, parts, held = [], [], 0
         if parts:
@@ -169,17 +174,23 @@ def _anchors(window: int, block: int, bits: int, buckets: int):
     return run
 
 
-def _hits(table: pa.Table) -> pa.Table:
-    """Of one bucket: the blocks whose words are found elsewhere."""
-    probes = [unpack(p.as_py()) for p in table.column("probes")]
-    twice = at_least_twice(np.concatenate(probes))
-    owners, numbers = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-    for b, o, n in zip(table.column("blocks"), table.column("owners"), table.column("numbers")):
-        blocks = unpack(b.as_py())
-        hit = twice[np.minimum(np.searchsorted(twice, blocks), len(twice) - 1)] == blocks if len(twice) else np.zeros(len(blocks), bool)
-        owners.append(np.frombuffer(o.as_py(), np.int64)[hit])
-        numbers.append(np.frombuffer(n.as_py(), np.int32)[hit])
-    return pa.table({"owner": pa.array(np.concatenate(owners)), "number": pa.array(np.concatenate(numbers))})
+def _hits(batches):
+    """The blocks whose words are found elsewhere. Rows come by bucket, in each the probes first; the blocks stream past them."""
+    bucket, probes, twice = None, [], None
+    for batch in batches:
+        for i, (b, index) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            if b != bucket:
+                bucket, probes, twice = b, [], None
+            values = unpack(batch.column(2)[i].as_py())
+            if not index:
+                probes.append(values)
+                continue
+            if twice is None:
+                twice, probes = at_least_twice(np.concatenate(probes)), []
+            if len(twice):
+                hit = twice[np.minimum(np.searchsorted(twice, values), len(twice) - 1)] == values
+                owner, number = np.frombuffer(batch.column(3)[i].as_py(), np.int64), np.frombuffer(batch.column(4)[i].as_py(), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(owner[hit]), pa.array(number[hit])], names=["owner", "number"])
 
 
 def _settle(as_text: bool):
@@ -219,7 +230,8 @@ class _Batch:
         self.words = [words_of(t.as_py()) for t in table.column("text")]
         sizes = np.array([len(w) for w in self.words])
         self.starts = np.cumsum(sizes) - sizes
-        h = rolling(np.concatenate([hash_words(w) for w in self.words]), window)
+        each = np.concatenate([hash_words(w) for w in self.words])
+        h = rolling(each, window)
         near = np.zeros(int(sizes.sum()) + 1, np.int32)
         for start, hits in zip(self.starts.tolist(), table.column("hits").to_pylist()):
             b = np.array(hits, np.int64) * block
@@ -227,20 +239,35 @@ class _Batch:
             np.add.at(near, start + b + 1, -1)
         near = np.cumsum(near[:-1])[: len(h)] > 0
         self.places = np.flatnonzero(near & _inside(np.cumsum(sizes), sizes, len(h), window))
-        self.hashes = h[self.places]
+        first, second = h[self.places], rolling(each, window, _SECOND)[self.places]
+        order = by_both(first, second)
+        first, second = first[order], second[order]
+        new = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))[: len(first)]
+        self.first, self.second = first[new], second[new]
+        self.number = np.empty(len(order), np.int64)  # of each place the number of its window among the distinct ones
+        self.number[order] = np.cumsum(new) - 1
+
+
+def by_both(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The order by both; the second counts only where chance made two of the first equal."""
+    order = np.argsort(first, kind="stable")
+    f, s = first[order], second[order]
+    return np.lexsort((second, first)) if ((f[1:] == f[:-1]) & (s[1:] != s[:-1])).any() else order
 
 
 def _windows(window: int, block: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         batch = table.column("batch")[0].as_py()
-        values, counts = np.unique(_Batch(table, window, block).hashes, return_counts=True)
-        c = cuts(values, 64, buckets)
-        full = [k for k in range(buckets) if c[k + 1] > c[k]]
+        b = _Batch(table, window, block)
+        counts = np.bincount(b.number, minlength=len(b.first))
+        c = cuts(b.first, 64, buckets)
+        full = np.flatnonzero(c[1:] > c[:-1]).tolist()
         return pa.table(
             {
                 "bucket": pa.array(full, pa.int32()),
                 "batch": pa.array([batch] * len(full), pa.int64()),
-                "values": pa.array([pack(values[c[k] : c[k + 1]]) for k in full], pa.binary()),
+                "values": pa.array([pack(b.first[c[k] : c[k + 1]]) for k in full], pa.binary()),
+                "second": pa.array([b.second[c[k] : c[k + 1]].tobytes() for k in full], pa.binary()),
                 "twice": pa.array([np.packbits(counts[c[k] : c[k + 1]] > 1).tobytes() for k in full], pa.binary()),
             }
         )
@@ -251,9 +278,14 @@ def _windows(window: int, block: int, buckets: int):
 def _repeats(table: pa.Table) -> pa.Table:
     """Of one bucket: for each batch, a bit for each of its windows that is found elsewhere."""
     values = [unpack(v.as_py()) for v in table.column("values")]
-    own = [np.unpackbits(np.frombuffer(t.as_py(), np.uint8), count=len(v)).astype(bool) for t, v in zip(table.column("twice"), values)]
-    twice = at_least_twice(np.concatenate(values))
-    found = [np.packbits(o | np.isin(v, twice, assume_unique=True)).tobytes() for o, v in zip(own, values)]
+    first, second = np.concatenate(values), np.concatenate([np.frombuffer(v.as_py(), np.uint64) for v in table.column("second")])
+    own = np.concatenate([np.unpackbits(np.frombuffer(t.as_py(), np.uint8), count=len(v)).astype(bool) for t, v in zip(table.column("twice"), values)])
+    order = by_both(first, second)
+    first, second = first[order], second[order]
+    same = (first[1:] == first[:-1]) & (second[1:] == second[:-1])
+    own[order[1:][same]] = own[order[:-1][same]] = True
+    ends = np.cumsum([len(v) for v in values])
+    found = [np.packbits(own[e - len(v) : e]).tobytes() for e, v in zip(ends.tolist(), values)]
     return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "found": pa.array(found, pa.binary())})
 
 
@@ -262,12 +294,11 @@ def _cut(window: int, block: int, buckets: int, as_text: bool):
         if not len(texts):
             return pa.table({"key": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
         b = _Batch(texts, window, block)
-        values, back = np.unique(b.hashes, return_inverse=True)
-        c = cuts(values, 64, buckets)
-        repeated = np.zeros(len(values), bool)
+        c = cuts(b.first, 64, buckets)
+        repeated = np.zeros(len(b.first), bool)
         for k, found in zip(bits.column("bucket").to_pylist(), bits.column("found").to_pylist()):
             repeated[c[k] : c[k + 1]] = np.unpackbits(np.frombuffer(found, np.uint8), count=int(c[k + 1] - c[k]))
-        at = b.places[repeated[back]]
+        at = b.places[repeated[b.number]]
         total = sum(map(len, b.words))
         change = np.zeros(total + window + 1, np.int32)
         change[at] += 1
@@ -284,21 +315,22 @@ def _cut(window: int, block: int, buckets: int, as_text: bool):
     return run
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, as_text: bool = True) -> DataFrame:
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, as_text: bool = True, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``key``, n_words, n_removed and kept: the words left, joined by one space, or with ``as_text=False`` their SHA-256."""
     spark, block = df.sparkSession, (window + 1) // 2
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(key, text).alias("owner"), F.col(text).alias("text"))
     size = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = min(64, max(32, (size // 4).bit_length() + 10))
-    anchors = docs.filter("text IS NOT NULL").select("owner", "text").mapInArrow(_anchors(window, block, bits, buckets), "bucket int, probes binary, blocks binary, owners binary, numbers binary")
-    hits = anchors.groupBy("bucket").applyInArrow(_hits, "owner long, number int")
+    buckets = max(4 * parts, size // bucket_bytes)
+    anchors = docs.filter("text IS NOT NULL").select("owner", "text").mapInArrow(_anchors(window, block, bits, buckets), "bucket int, index boolean, hashes binary, owners binary, numbers binary")
+    hits = anchors.repartition(parts, "bucket").sortWithinPartitions("bucket", "index").mapInArrow(_hits, "owner long, number int")
     by_text = hits.groupBy("owner").agg(F.array_sort(F.collect_set("number")).alias("hits"))
     joined = docs.join(by_text, "owner", "left").select("key", "owner", "text", "hits")
     settled = durable(joined.mapInArrow(_settle(as_text), "key long, n_words long, kept string, batch long, owner long, text string, hits array<int>"))
     done = settled.filter("batch IS NULL").select("key", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept")
     rest = settled.filter("batch IS NOT NULL").select("batch", "key", "owner", "text", "hits")
-    windows = rest.select("batch", "key", "owner", "text", "hits").groupBy("batch").applyInArrow(_windows(window, block, buckets), "bucket int, batch long, values binary, twice binary")
+    windows = rest.select("batch", "key", "owner", "text", "hits").groupBy("batch").applyInArrow(_windows(window, block, buckets), "bucket int, batch long, values binary, second binary, twice binary")
     found = windows.groupBy("bucket").applyInArrow(_repeats, "batch long, bucket int, found binary")
     cut = rest.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(_cut(window, block, buckets, as_text), "key long, n_words long, n_removed long, kept string")
     return done.union(cut).withColumnRenamed("key", key)
