@@ -8,14 +8,16 @@ the likeliest consistent labels of the whole tree: on every way down from the ro
 then excluded, and never the other way round, so no excluded block has content below it.
 
 Text of content blocks: character references are decoded, white space within a block becomes one space, blocks are trimmed
-and joined in page order by one space. Scripts, styles and markup never count. Null or empty html gives an empty text.
+and joined in page order by one space. Scripts, styles and markup never count; buttons, selections and text fields are blocks, as
+other parts of forms. Attributes are read whole. Parsing takes time in proportion to the page, however deep or broken it is. Null or empty html gives an empty text.
 Repeated rows each give their own row; other columns are dropped.
 """
 
 from __future__ import annotations
 
 import re
-from functools import cache
+from collections import defaultdict
+from functools import cache, lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -27,17 +29,20 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_text
 from .html_train import NAMES, pages
 
-TRAIN_PAGES = 1000
-TREES = 20
+TRAIN_PAGES = 2000
+TREES = 40
+#: Nodes that a task holds at once, besides a page.
+NODES = 10_000
 DEPTH = 5
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SILENT = frozenset("script style template noscript head title iframe svg object canvas math".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var img input wbr br button select option textarea".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var img input wbr br".split())
 _ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+_BARRIERS = ("article", "main", "table", "body")
 #: Tags whose start ends an open element of the same set, up to the nearest element of the second set.
-_SIBLINGS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
+_SIBLINGS = {"option": (("option",), ("select",)), "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
 _HOLDS = frozenset("html body article aside div footer header main nav section td th table ul ol dl form blockquote".split())
-_TAGS = "body article main section div p h1 h2 h3 ul ol li table tr td blockquote pre header footer nav aside form figure dl".split()
+_TAGS = "body article main section div p h1 h2 h3 ul ol li table tr td blockquote pre header footer nav aside form figure dl button select textarea".split()
 _TAG = {t: i for i, t in enumerate(_TAGS)}
 _KINDS = list(NAMES)
 #: Words of attribute tokens by kind of box; the first kind that has a word counts.
@@ -63,7 +68,7 @@ class Node:
         self.depth = parent.depth + 1 if parent else 0
 
 
-@cache
+@lru_cache(100_000)
 def token_kinds(value: str) -> int:
     """The kinds of box that an attribute's words name, as bits."""
     found = 0
@@ -81,6 +86,8 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         root = Node("html", None, 0, 0)
         self.nodes, self.stack, self.silent, self.links = [root], [("html", root)], [], 0
+        self.places: dict[str, list[int]] = defaultdict(list)  # by tag the places of its open elements
+        self.holding: list[int] = []  # the places of open elements that hold others
         self.runs: list[tuple[Node, str]] = []
         self.pending: list[str] = []
 
@@ -110,39 +117,46 @@ class Tree(HTMLParser):
         if tag in _INLINE:
             if tag == "a":
                 self.links += 1
-            if tag in ("input", "button", "select", "textarea"):
+            if tag == "input":
                 self.stack[-1][1].inputs += 1
             if tag not in _VOID:
-                self.stack.append((tag, self.stack[-1][1]))
+                self.push(tag, self.stack[-1][1])
             return
         self.break_run()
-        if tag in ("html", "body") and len(self.nodes) > 1 and any(t == tag for t, _ in self.stack):
+        if tag == "html" or tag == "body" and self.places["body"]:
             return
         if tag in _ENDS_P:
             self.close(("p",), _HOLDS)
         if tag in _SIBLINGS:
             self.close(*_SIBLINGS[tag])
-        if tag in _VOID or tag == "html":
+        if tag in _VOID:
             return
         kinds, y = 0, 0
         for name, value in attrs:
             if value and name in ("class", "id", "role", "aria-label", "itemprop"):
-                kinds |= token_kinds(value[:200])
+                kinds |= token_kinds(value)
             elif name == "data-y":
                 y = int(value == "1")
         while self.stack[-1][0] in _INLINE:  # a block ends the inline elements around it
             self.pop()
         parent = self.stack[-1][1]
+        parent.inputs += tag in ("button", "select", "textarea")
         node = Node(tag, parent, kinds, y, len(self.nodes))
         parent.children.append(node)
         self.nodes.append(node)
-        self.stack.append((tag, node))
+        self.push(tag, node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in _VOID and tag not in _SILENT:
             self.handle_endtag(tag)
 
+    def push(self, tag: str, node: Node) -> None:
+        self.places[tag].append(len(self.stack))
+        if tag in _HOLDS:
+            self.holding.append(len(self.stack))
+        self.stack.append((tag, node))
+
     def pop(self) -> None:
         tag, _ = self.stack[-1]
         if tag not in _INLINE:
@@ -150,17 +164,20 @@ class Tree(HTMLParser):
         elif tag == "a":
             self.links -= 1
         self.stack.pop()
+        self.places[tag].pop()
+        if tag in _HOLDS:
+            self.holding.pop()
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of these tags, or 0."""
+        return max([p[-1] for t in tags if (p := self.places.get(t))], default=0)
 
     def close(self, tags, until) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[i][0]
-            if tag in tags:
-                while len(self.stack) > i:
-                    self.pop()
-                if tags != ("p",) and len(self.stack) > 1:
-                    continue
-                return
-            if tag in until:
+        """End the open elements of ``tags`` (a paragraph: the innermost) within the nearest of ``until``."""
+        while (at := self.last(tags)) > (self.holding[-1] if self.holding and until is _HOLDS else 0 if until is _HOLDS else self.last(until)):
+            while len(self.stack) > at:
+                self.pop()
+            if tags == ("p",):
                 return
 
     def handle_endtag(self, tag):
@@ -170,16 +187,11 @@ class Tree(HTMLParser):
             return
         if tag in ("html", "body") or tag == "br":
             return
-        for i in range(len(self.stack) - 1, 0, -1):
-            open_tag = self.stack[i][0]
-            if open_tag == tag:
-                while len(self.stack) > i:
-                    self.pop()
-                return
-            if (tag in _INLINE or tag == "p") and open_tag in _HOLDS:
-                return
-            if open_tag in ("article", "main", "table", "body") and tag not in _HOLDS:
-                return
+        at = self.last((tag,))
+        if not at or (tag in _INLINE or tag == "p") and self.holding and self.holding[-1] > at or tag not in _HOLDS and self.last(_BARRIERS) > at:
+            return
+        while len(self.stack) > at:
+            self.pop()
 
     def handle_data(self, data):
         if self.silent:
@@ -197,10 +209,21 @@ class Tree(HTMLParser):
         HTMLParser.close(self)
 
 
+_OPENS = re.compile("<[A-Za-z/!?]")
+
+
+def whole(html: str) -> str:
+    """The page up to a comment or a tag that never ends: it takes all that follows, and the parser would look for its end again and again."""
+    end = html.find("<!--", html.rfind("-->") + 1)
+    html = html if end < 0 else html[:end]
+    m = _OPENS.search(html, html.rfind(">") + 1)
+    return html[: m.start()] if m else html
+
+
 def parse(html: str | None) -> Tree:
     tree = Tree()
     if html:
-        tree.feed(html)
+        tree.feed(whole(html))
     return tree.finish()
 
 
@@ -338,12 +361,22 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "
     sent = df.sparkSession.sparkContext.broadcast(forest or train(df.sparkSession))  # TREES trees of at most 2 ** (DEPTH + 1) nodes
 
     def rows(part):
-        trees = [parse(h) for h in part[html]]
-        found = [features(t) for t in trees]
-        odds, texts, at = sent.value(np.concatenate(found)), [], 0
-        for tree, f in zip(trees, found):
-            texts.append(text_of(tree, decode(tree, odds[at : at + len(f)])))
-            at += len(f)
+        texts, held = [], []
+
+        def settle():
+            odds, at = sent.value(np.concatenate([f for _, f in held])), 0
+            for tree, f in held:
+                texts.append(text_of(tree, decode(tree, odds[at : at + len(f)])))
+                at += len(f)
+            held.clear()
+
+        for h in part[html]:
+            tree = parse(h)
+            held.append((tree, features(tree)))
+            if sum(len(f) for _, f in held) >= NODES:
+                settle()
+        if held:
+            settle()
         return {key: part[key], url: part[url], "text": texts, "n_chars": [len(t) for t in texts]}
 
     return map_text(df, [key, url, html], f"{key} long, {url} string, text string, n_chars long", rows, html)

@@ -28,6 +28,7 @@ _SYLLABLES = "ba ce di fo gu la me ni po ru sa te vi wo za an el is or un".split
 class _Page:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.fields = random.Random(-seed)  # of its own, so that pages are otherwise the same with and without fields
 
     def words(self, low: int, high: int) -> str:
         r, out = self.r, []
@@ -51,6 +52,11 @@ class _Page:
     def links(self, n: int) -> str:
         return "<ul data-y=\"0\">" + "".join(f'<li data-y="0"><a href="/{i}">{self.words(1, 3)}</a></li>' for i in range(n)) + "</ul>"
 
+    def field(self) -> str:
+        """Nothing, or a part of a form."""
+        word = lambda: "".join(self.fields.choice(_SYLLABLES) for _ in range(3))
+        return self.fields.choice(["", "", f'<select data-y="0"><option data-y="0">{word()}<option data-y="0">{word()}</select>', f'<textarea data-y="0">{word()} {word()}</textarea>', f'<button data-y="0">{word()}</button>'])
+
     def box(self, kind: str) -> str:
         r = self.r
         p = lambda low, high: f'<p data-y="0">{self.words(low, high)}</p>'
@@ -61,7 +67,7 @@ class _Page:
             "sidebar": lambda: f'<h3 data-y="0">{self.words(1, 4)}</h3>' + r.choice([self.links(r.randint(2, 8)), p(8, 40), p(4, 20) + p(4, 20)]),
             "notice": lambda: r.choice([self.words(5, 30), p(5, 40) + '<button data-y="0">Ok</button>']),
             "advert": lambda: r.choice([self.words(3, 25), f'<a href="/x">{self.words(2, 12)}</a>', p(3, 25)]),
-            "form": lambda: f'<label>{self.words(1, 3)}</label><input name="q"><button data-y="0">{self.words(1, 2)}</button>' + r.choice(["", p(3, 15)]),
+            "form": lambda: self.field() + f'<label>{self.words(1, 3)}</label><input name="q"><button data-y="0">{self.words(1, 2)}</button>' + r.choice(["", p(3, 15)]),
             "comments": lambda: f'<h3 data-y="0">{self.words(1, 3)}</h3>' + "".join(f'<div{self.attributes("comments", 0)}>{r.choice([p(5, 60), self.words(5, 60), p(3, 40) + p(3, 30)])}</div>' for _ in range(r.randint(1, 6))),
             "share": lambda: "".join(f'<a href="/{i}">{self.words(1, 2)}</a> ' for i in range(r.randint(2, 5))),
         }[kind]()
@@ -80,7 +86,7 @@ class _Page:
             kind = r.random()
             if kind < 0.75:
                 bold = r.random() < 0.15
-                out.append(f'<p data-y="1">{"<b>" if bold else ""}{self.words(*size)}' + ("<br>" if bold else "</p>" if r.random() < 0.95 else ""))
+                out.append(f'<p data-y="1">{"<b>" if bold else ""}{self.words(*size)}' + (self.field() if self.fields.random() < 0.08 else "") + ("<br>" if bold else "</p>" if r.random() < 0.95 else ""))
             elif kind < 0.82:
                 out.append(f'<h2 data-y="1">{self.words(1, 8)}</h2>')
             elif kind < 0.88:
