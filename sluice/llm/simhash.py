@@ -8,11 +8,13 @@ the first test, the Hamming distance the exact one. The counts 0, 1, 2 are held
 Manhattan distance of all dimensions is the popcount of one exclusive or.
 
 Only distinct fingerprints take part, so copies cost nothing. Members of a cell stream through a task in order, of which
-it holds at most ``HOT``; a larger cell's members are joined again on a finer grid: the cells that any 13 of 16 nibbles span,
-which at distance three must still find each pair, and which hold at most 4096 fingerprints each.
+it holds at most ``HOT``; a larger cell's members are embedded again by shorter segments, of one bit, in 64 dimensions that form 16
+groups, of which a pair at distance three agrees in 13. Counts of one bit are the bits, so such a cell holds at most 2^12 fingerprints, and its
+Manhattan distance is the Hamming distance. Either way each link comes through the embedding and its grid.
 
 Texts of fewer words than a shingle have one shingle of all their words; texts without words (null, empty) have the
-fingerprint zero and are linked like any other. Repeated rows each give their own row; other columns are dropped.
+fingerprint zero and are linked like any other. Repeated rows each give their own row; other columns are dropped. Rows of null keys
+are members like any other, but a group of null keys only has a null ``component_id``.
 """
 
 from __future__ import annotations
@@ -54,17 +56,20 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", size: i
     return map_text(df, [key, text], f"{key} long, fp long", lambda part: {key: part[key], "fp": [fingerprint(t, size) for t in part[text]]}, text)
 
 
-def embed(x: np.ndarray) -> np.ndarray:
-    """The segments' popcounts, each in unary."""
+def embed(x: np.ndarray, segment: int = 2) -> np.ndarray:
+    """The popcounts of the segments of one or two bits, each in unary."""
+    if segment == 1:
+        return x
     odd = np.uint64(0x5555555555555555)
     high = x >> np.uint64(1)
     return ((x | high) & odd) | (((x & high) & odd) << np.uint64(1))
 
 
 class Grid:
-    """The cells that ``kept`` of ``parts`` equal parts of 64 bits span."""
+    """The cells that ``kept`` of ``parts`` equal groups of the dimensions span, for segments of ``segment`` bits."""
 
-    def __init__(self, parts: int, kept: int):
+    def __init__(self, parts: int, kept: int, segment: int):
+        self.segment = segment
         self.width = 64 // parts
         self.parts = parts
         chosen = list(combinations(range(parts), kept))
@@ -91,25 +96,26 @@ class Grid:
         return self.first[agree]
 
 
-COARSE = (8, 5)
-FINE = (16, 13)
+#: Groups, those in which a pair must agree, and the bits of a segment.
+COARSE = (8, 5, 2)
+FINE = (16, 13, 1)
 
 
-def _spread(grid: tuple[int, int], embedded: bool):
+def _spread(grid: tuple[int, int, int]):
     def run(batches):
         g = Grid(*grid)
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 x = batch.column(0)[at : at + 1024].to_numpy(zero_copy_only=False).view(np.uint64)
-                cells = g.cells(embed(x) if embedded else x)
+                cells = g.cells(embed(x, g.segment))
                 yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(np.repeat(x, cells.shape[1]).view(np.int64))], names=["cell", "fp"])
 
     return run
 
 
-def _pairs(cells: np.ndarray, x: np.ndarray, g: Grid, embedded: bool, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(cells: np.ndarray, x: np.ndarray, g: Grid, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Linked pairs of fingerprints that follow each other in cell order, each from the first cell that they share."""
-    points = embed(x) if embedded else x
+    points = embed(x, g.segment)
     left = np.flatnonzero(cells[1:] == cells[:-1])
     step = 1
     while len(left):
@@ -128,7 +134,7 @@ def _pairs(cells: np.ndarray, x: np.ndarray, g: Grid, embedded: bool, bits: int)
         left = left[cells[left + step] == cells[left]]
 
 
-def _link(grid: tuple[int, int], embedded: bool, bits: int, hot: int):
+def _link(grid: tuple[int, int, int], bits: int, hot: int):
     """Over rows (cell, fp) in cell order: (a, b) links, and (fp, null) for members of cells beyond ``hot``."""
 
     def run(batches):
@@ -152,14 +158,14 @@ def _link(grid: tuple[int, int], embedded: bool, bits: int, hot: int):
             cells, x = np.concatenate([cells, c]), np.concatenate([x, f])
             changes = np.flatnonzero(cells[1:] != cells[:-1])
             last = int(changes[-1]) + 1 if len(changes) else 0
-            for a, b in _pairs(cells[:last], x[:last], g, embedded, bits):
+            for a, b in _pairs(cells[:last], x[:last], g, bits):
                 yield from give(a, b)
             cells, x = cells[last:], x[last:]
             if len(cells) > hot:
                 over = int(cells[0])
                 yield from give(x.view(np.int64), pa.nulls(len(x), pa.int64()))
                 cells, x = cells[:0], x[:0]
-        for a, b in _pairs(cells, x, g, embedded, bits):
+        for a, b in _pairs(cells, x, g, bits):
             yield from give(a, b)
 
     return run
@@ -170,11 +176,11 @@ def links(distinct: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
     if bits > BITS:
         raise ValueError("the grids find pairs at three bits or fewer")
     order = lambda df: df.repartition("cell").sortWithinPartitions("cell")
-    coarse = order(distinct.select("fp").mapInArrow(_spread(COARSE, True), "cell long, fp long"))
-    found = durable(coarse.mapInArrow(_link(COARSE, True, bits, hot), "a long, b long"))
+    coarse = order(distinct.select("fp").mapInArrow(_spread(COARSE), "cell long, fp long"))
+    found = durable(coarse.mapInArrow(_link(COARSE, bits, hot), "a long, b long"))
     crowded = found.filter("b IS NULL").select(F.col("a").alias("fp")).distinct()
-    fine = order(crowded.mapInArrow(_spread(FINE, False), "cell long, fp long"))
-    return found.filter("b IS NOT NULL").union(fine.mapInArrow(_link(FINE, False, bits, 1 << 62), "a long, b long"))
+    fine = order(crowded.mapInArrow(_spread(FINE), "cell long, fp long"))
+    return found.filter("b IS NOT NULL").union(fine.mapInArrow(_link(FINE, bits, 1 << 62), "a long, b long"))
 
 
 def _named(marked: DataFrame, key: str, bits: int, hot: int) -> DataFrame:
