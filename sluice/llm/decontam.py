@@ -5,19 +5,22 @@ such place must hold unchanged. All pieces go into one Aho-Corasick automaton th
 the whole item is verified with Myers' bit-parallel distance. Items of one character or more with k = 0 are matched exactly.
 
 Texts and items are compared in lower case, with runs of white space as one space. Null or empty items match nothing,
-null texts hold nothing. Items are handled in blocks of at most ``block_chars`` characters, each block against all texts, so what a task holds
-stays bounded however long the benchmark is. Repeated items each give their own row; a text's row names key and item once.
+null texts hold nothing. Items are handled in blocks of about ``block_chars`` characters, each block against all texts, so what a task holds
+stays bounded however long the benchmark is; a block goes to the executors as a file, not through the driver. A row names key and item once: of
+items of equal id, and of texts of equal key, the place of the fewest edits counts. ``clean`` judges each row for itself, whatever its key.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship, shipped
+
 RATE = 0.08
 BLOCK_CHARS = 2_000_000
 
@@ -113,40 +116,44 @@ class Matcher:
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, block_chars: int):
-    """Lists of items, each of bounded size: blocks of the items' hash."""
+    """Files of items, each of bounded size: blocks of the items' hash."""
     sized = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).filter("text IS NOT NULL")
     total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-2 * total // block_chars)) if total > block_chars else 1
     for b in range(n):
-        yield sized.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).collect()  # about block_chars characters
+        yield ship(sized.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).coalesce(1))
+
+
+@lru_cache(2)
+def _matcher(names: tuple[str, ...], rate: float) -> Matcher:
+    """Built once in a worker, for all its tasks."""
+    rows = [r for name in names for r in shipped(name).to_pylist()]
+    return Matcher(sorted({(r["item"], t, int(rate * len(t))) for r in rows if (t := normal(r["text"]))}, key=str))
 
 
 def matches(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``key``, ``item``, edits, budget: a row for each text and item that it holds within the item's error budget."""
-    context, found = df.sparkSession.sparkContext, []
-    for block in _blocks(benchmark, item, item_text, block_chars):
-        items = sorted({(r["item"], t, int(rate * len(t))) for r in block if (t := normal(r["text"]))}, key=str)
-        sent, held = context.broadcast(items), {}
+    found = []
+    for names in _blocks(benchmark, item, item_text, block_chars):
 
-        def run(batches, sent=sent, held=held):
-            matcher = held.get("matcher") or held.setdefault("matcher", Matcher(sent.value))
+        def run(batches, names=names):
+            matcher = _matcher(names, rate)
             for batch in batches:
                 out = [(k, *matcher.items[i], e) for k, t in zip(batch.column(0).to_pylist(), batch.column(1)) for i, e in matcher.find(normal(t.as_py())).items()]
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1, 4, 3)], names=[key, item, "edits", "budget"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1, 4, 3)], names=["k", "i", "edits", "budget"])
 
-        found.append(df.select(key, text).mapInArrow(run, f"{key} long, {item} long, edits long, budget long"))
-    return reduce(DataFrame.union, found).groupBy(key, item).agg(F.min("edits").alias("edits"), F.max("budget").alias("budget"))
+        found.append(df.select(key, text).mapInArrow(run, "k long, i long, edits long, budget long"))
+    best = reduce(DataFrame.union, found).groupBy("k", "i").agg(F.min(F.struct("edits", "budget")).alias("b"))
+    return best.select(F.col("k").alias(key), F.col("i").alias(item), "b.edits", "b.budget")
 
 
 def clean(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows whose text holds no item; all columns stay. Each row is judged where it is, so nothing is shuffled."""
-    item, item_text = options.get("item", "item_id"), options.get("item_text", "text")
-    rate, context = options.get("rate", RATE), df.sparkSession.sparkContext
-    for block in _blocks(benchmark, item, item_text, options.get("block_chars", BLOCK_CHARS)):
-        sent = context.broadcast(sorted({(r["item"], t, int(rate * len(t))) for r in block if (t := normal(r["text"]))}, key=str))
+    item, item_text, rate = options.get("item", "item_id"), options.get("item_text", "text"), options.get("rate", RATE)
+    for names in _blocks(benchmark, item, item_text, options.get("block_chars", BLOCK_CHARS)):
 
-        def run(batches, sent=sent, at=df.columns.index(text)):
-            matcher = Matcher(sent.value)
+        def run(batches, names=names, at=df.columns.index(text)):
+            matcher = _matcher(names, rate)
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.find(normal(t.as_py())) for t in batch.column(at)], pa.bool_()))
 
