@@ -55,10 +55,45 @@ def op10_html_extract(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontam, op3_chat, op4_bpe, op5_substring_dedup, op6_quality, op7_token_store, op8_simhash, op9_pii, op10_html_extract)}
+def quality_base(spark, sf_dir):
+    """The base columns of op6, which SQL can express."""
+    return quality.measure(table(spark, sf_dir, "documents")).drop("pattern")
+
+
+def pii_base(spark, sf_dir):
+    """The base counts of op9, which SQL can express."""
+    return pii.find(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontam, op3_chat, op4_bpe, op5_substring_dedup, op6_quality, op7_token_store, op8_simhash, op9_pii, op10_html_extract, quality_base, pii_base)}
+
+_WORDS = r"""SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents"""
 
 ORACLES = {
     "op3_chat": chat.ORACLE,
+    "op5_substring_dedup": f"""
+        WITH d AS ({_WORDS}), at AS (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d), win AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s FROM at),
+        rep AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY s) > 1), gone AS (SELECT DISTINCT r, i + k AS p FROM rep, generate_series(0, 34) t(k)),
+        words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+        left_ AS (SELECT words.r, count(gone.p) AS n, string_agg(word, ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL) AS kept FROM words LEFT JOIN gone ON words.r = gone.r AND words.p = gone.p GROUP BY words.r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN left_ USING (r)""",
+    "quality_base": rf"""
+        WITH d AS ({_WORDS}), at AS (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d), rep AS (SELECT r, i FROM at QUALIFY count(*) OVER (PARTITION BY r, w[i:i + 2]) > 1),
+        covered AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, generate_series(0, 2) t(k) GROUP BY r),
+        lines AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM d)
+        SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[ 	-]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+               len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed
+        FROM d JOIN lines USING (r) LEFT JOIN covered USING (r)""",
+    "pii_base": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        m AS (SELECT r, doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS e, regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS i,
+                     list_transform(regexp_extract_all(text, '[0-9]([ -]?[0-9])+'), lambda x: reverse(regexp_replace(x, '[^0-9]', '', 'g'))) AS c,
+                     list_transform(regexp_extract_all(text, '\+[0-9][ ().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) AS p FROM d)
+        SELECT doc_id, len(e) AS n_email,
+               len(list_filter(i, lambda x: len(list_filter(string_split(x, '.'), lambda y: length(ltrim(y, '0')) > 3 OR CAST(right(y, 3) AS INT) > 255)) = 0)) AS n_ip,
+               len(list_filter(c, lambda x: length(x) BETWEEN 13 AND 19 AND list_sum(list_transform(generate_series(1, length(x)),
+                   lambda k: CASE WHEN k % 2 = 1 THEN CAST(x[k] AS INT) ELSE 2 * CAST(x[k] AS INT) - CASE WHEN CAST(x[k] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0)) AS n_card,
+               len(list_filter(p, lambda x: x BETWEEN 9 AND 15)) AS n_phone FROM m""",
     "op1_url_filter": """
         WITH rules(verdict, rule) AS (VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'), ('block', 'net/es/'), ('block', 'net/fr/')),
         rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),

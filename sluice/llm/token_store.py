@@ -207,12 +207,13 @@ class WordIds:
                 found[i] = self.known[words[i]]
         return np.array(found, np.int64)
 
-    def encode(self, texts: pa.Array) -> list[bytes]:
+    def encode(self, texts: pa.Array, most: int | None = None) -> list[bytes]:
+        """Texts of more than ``most`` characters are encoded in parts."""
         texts = pc.fill_null(texts, "")
         odd = np.full(len(texts), not self.words)
         for s in self.specials:
             odd |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        long = pc.greater(pc.utf8_length(texts), _LONG).to_numpy(zero_copy_only=False) & ~odd
+        long = pc.greater(pc.utf8_length(texts), most or _LONG).to_numpy(zero_copy_only=False) & ~odd
         # A-Z are lower-cased here already, as the file's normalizer does
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(pa.array(odd | long), "", texts)))
         coded = lists.values.dictionary_encode()
@@ -226,7 +227,7 @@ class WordIds:
         for i in np.flatnonzero(odd).tolist():
             out[i] = self.whole([texts[i].as_py()])[0]
         for i in np.flatnonzero(long).tolist():
-            out[i] = b"".join(x for part in _parts(texts[i].as_py()) for x in self.encode(pa.array([part])))
+            out[i] = b"".join(x for part in _parts(texts[i].as_py()) for x in self.encode(pa.array([part]), len(part)))
         return out
 
 
