@@ -9,8 +9,9 @@ from datetime import UTC, datetime
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .config import RESEARCH_PROFILES, Lexicon, load, profile
-from .operators import extract, metrics, queries, rank, score
+from .config import CRAWL_PROFILES, RESEARCH_PROFILES, Lexicon, load, profile
+from .operators import extract, lookup, metrics, queries, rank, score
+from .operators.dedupe import kept_table
 from .operators.upsert import Store
 from .plans import runs
 from .sources import export, tables
@@ -44,6 +45,15 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--target")
         s.add_argument("--location")
         s.add_argument("--min-score", type=int, default=40)
+    c.add_parser("search").add_argument("hits", help="a folder of search hits")
+    for name, first, known in (("crawl-sources", "listings", CRAWL_PROFILES), ("research", "hits", RESEARCH_PROFILES)):
+        s = c.add_parser(name)
+        s.add_argument(first)
+        s.add_argument("pages", help="a folder of fetched pages")
+        s.add_argument("--target")
+        s.add_argument("--location")
+        s.add_argument("--min-score", type=int, default=40)
+        s.add_argument("--profile", default="normal", choices=known)
     s = c.add_parser("plan")
     s.add_argument("--query")
     s.add_argument("--target")
@@ -55,7 +65,8 @@ def main(argv: list[str] | None = None) -> int:
         if not (a.query or a.target):
             print("a query or a target is needed", file=sys.stderr)
             return 1
-        print(*queries.plan(load(a.terms) if a.terms else {}, a.query, a.location, a.target, profile(a.profile).queries), sep="\n")
+        made = queries.plan(SparkSession.builder.appName("sluice").getOrCreate(), load(a.terms) if a.terms else {}, a.query, a.location, a.target, profile(a.profile).queries)
+        print(*queries.listed(made), sep="\n")
         return 0
     if a.command == "reset" and not a.yes:
         print("reset empties all tables but the applications; say --yes", file=sys.stderr)
@@ -65,7 +76,16 @@ def main(argv: list[str] | None = None) -> int:
     stores = {n: Store(spark, f"{a.root}/{n}", spark.createDataFrame([], s).schema) for n, s in SCHEMAS.items()}
     stores["opportunities"] = Store(spark, f"{a.root}/opportunities", opportunity_schema(spark, lexicon, now))
     kept = stores["opportunities"]
-    rows = kept.read()
+    rows, seq = kept.read(), F.lit(int(now.timestamp() * 1000)).cast("long")
+
+    def save(name: str, batch) -> int:
+        """Merge a batch by the table's policy; columns that it lacks are null."""
+        names = stores[name].schema.fields
+        batch = batch.withColumn("seq", seq)
+        given = dict(batch.dtypes)
+        shaped = batch.select(*(F.col(f.name) if given.get(f.name) == f.dataType.simpleString() else (F.col(f.name) if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in names))
+        return stores[name].merge(shaped, *tables.KEYS[name], "seq")
+
     if a.command in ("init", "reset"):
         for n, s in stores.items():
             if a.command == "init" and not s.version() or a.command == "reset" and n != "applications":
@@ -76,11 +96,26 @@ def main(argv: list[str] | None = None) -> int:
         rank.top(stores["rejected"].read(), [F.desc("seq"), F.asc("url")], a.limit).select("rejection_reason", F.substring("title", 1, 40).alias("title"), "url").show(a.limit, False)
     elif a.command == "list-discovery":
         rank.top(stores["candidates"].read(), [F.desc("seq"), F.asc("url")], a.limit).select("status", F.coalesce("title", "url").alias("title"), "source_platform", "target_score").show(a.limit, False)
-    elif a.command == "ingest":
-        good, bad = runs.accept(spark.read.parquet(a.path), runs.Settings(lexicon, now, target=a.target, location=a.location, min_score=a.min_score))
-        seq = F.lit(int(now.timestamp() * 1000)).cast("long")
-        new = good.withColumns({"first_seen": F.lit(now), "last_seen": F.lit(now), "seq": seq}).select(kept.schema.names)
-        print("added", kept.merge(new, *tables.KEYS["opportunities"], "seq"), "rejected", stores["rejected"].merge(bad.withColumn("seq", seq), *tables.KEYS["rejected"], "seq"))
+    elif a.command == "search":
+        hits = lookup.normalize_hits(spark.read.parquet(a.hits))
+        print("added", save("raw_results", hits))
+    elif a.command in ("ingest", "crawl-sources", "research"):
+        settings = runs.Settings(lexicon, now, target=a.target, location=a.location, min_score=a.min_score)
+        links = None
+        if a.command == "ingest":
+            good, bad = runs.accept(spark.read.parquet(a.path), settings)
+        elif a.command == "crawl-sources":
+            limits = profile(a.profile, CRAWL_PROFILES)
+            good, bad, links = runs.crawl(spark.read.parquet(a.listings), spark.read.parquet(a.pages), settings, limits.per_query, limits.fetches)
+        else:
+            hits, limits = spark.read.parquet(a.hits), profile(a.profile)
+            good, bad, ranked = runs.research(hits, spark.read.parquet(a.pages), settings, limits.fetches)
+            links = ranked.withColumns({"listing_url": F.lit(""), "company": F.lit(None).cast("string"), "discovery_method": F.lit("search"), "target_score": F.col("url_score")})
+            save("raw_results", hits)
+        good, bad = kept_table(spark, good), kept_table(spark, bad)
+        if links is not None:
+            print("candidates", save("candidates", runs.candidates(links, good, bad, a.target)))
+        print("added", save("opportunities", good.withColumns({"first_seen": F.lit(now), "last_seen": F.lit(now)})), "rejected", save("rejected", bad))
     elif a.command == "eval":
         runs.evaluate(tables.read_labels(spark, a.path), runs.Settings(lexicon, now, target=a.target, min_score=a.min_score))[1].show(truncate=False)
     elif a.command == "export":
@@ -97,6 +132,9 @@ def main(argv: list[str] | None = None) -> int:
         else:
             found = metrics.dashboard_gate(export.dashboard_rows(rows.withColumn("id", F.col("canonical_key"))), a.min_results, stores["applications"].read())
         found.groupBy("hard", "rule").count().orderBy(F.desc("hard"), "rule").show(100, False)
+        few = metrics.diversity(rows, "source_platform").first()
+        if few.gate_warning:
+            print("warning: all results are of one source")
         verdict = metrics.verdict(found).first()
         print(verdict.verdict)
         return int(verdict.issues > 0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as V
 from ..config import Lexicon
-from .text import blank_to_null, col, contains_any, count_terms, count_words_in_context, first_term, lowered, mapped, matches_any
+from .text import blank_to_null, col, contains_any, count_terms, count_words_in_context, first_term, lowered, mapped, matches_any, once
 
 
 def is_intern_title(title, patterns=V.INTERN_TITLE) -> Column:
@@ -35,16 +35,22 @@ def internship(text, title, lexicon: Lexicon) -> Column:
     strong = count_words_in_context(low, lexicon.strong, V.PRIOR_INTERNSHIP) + count_terms(low, V.EXTRA_STRONG)
     weak, other = count_terms(low, lexicon.weak), count_terms(low_title, lexicon.non_internship)
     of = lambda ok, n, why: F.struct(F.lit(ok).alias("ok"), (n if isinstance(n, Column) else F.lit(n)).alias("confidence"), F.lit(why).alias("source"))
+
+    def by_counts(n: Column) -> Column:
+        return (
+            F.when(n["strong"] >= 2, of(True, F.least(n["strong"] * 15 + 30, F.lit(85)), "description_strong"))
+            .when((n["strong"] >= 1) & (n["other"] == 0), of(True, 60, "description_single_strong"))
+            .when((n["strong"] >= 1) & (n["weak"] >= 1), of(True, 55, "description_weak_plus_strong"))
+            .when((n["other"] > 0) & (n["strong"] == 0), of(False, 0, "non_internship_title"))
+            .otherwise(of(False, 0, "no_signal"))
+        )
+
     return (
         F.when(contains_any(low, lexicon.hard_reject), of(False, 0, "hard_reject"))
         .when(contains_any(low_title, lexicon.likely_not_job), of(False, 0, "likely_not_job"))
         .when(is_senior_title(title), of(False, 0, "seniority_without_internship_title"))
         .when(is_intern_title(title), of(True, 90, "title_strong"))
-        .when(strong >= 2, of(True, F.least(strong * 15 + 30, F.lit(85)), "description_strong"))
-        .when((strong >= 1) & (other == 0), of(True, 60, "description_single_strong"))
-        .when((strong >= 1) & (weak >= 1), of(True, 55, "description_weak_plus_strong"))
-        .when((other > 0) & (strong == 0), of(False, 0, "non_internship_title"))
-        .otherwise(of(False, 0, "no_signal"))
+        .otherwise(once(F.struct(strong.alias("strong"), weak.alias("weak"), other.alias("other")), by_counts))
     )
 
 

@@ -144,16 +144,16 @@ def script_text(scripts: list[str]) -> str:
     return entities.unescape(text.encode("utf-8", "ignore").decode("unicode_escape", "ignore"))
 
 
-def _page_rows(platform: str, listing: str, html: str) -> Iterator[tuple]:
+def _page_rows(platform: str, listing: str, html: str, rules: dict, bases: dict[str, str]) -> Iterator[tuple]:
     """(kind, href, url, title, company, body) of what may be a link."""
-    base, found = BASES.get(platform, listing), items(html)
+    base, found = bases.get(platform, listing), items(html)
     for c in found.cards if platform == "jobstreet" else ():
         if href := c["href"] or c["any"]:
             yield "card", href, urljoin(base, href), c["title"], c["company"], None
     for href, text in found.anchors:
         yield "dom", href, urljoin(base, href), text, None, None
     source = script_text([s[3] for s in found.scripts]) if found.scripts else ""
-    for pattern in LINK_RULES.get(platform, LINK_RULES["generic"])[2]:
+    for pattern in rules.get(platform, rules["generic"])[2]:
         for m in re.finditer(pattern, source, re.IGNORECASE):
             href = m.group().strip().rstrip("\\\"'<>),;]")
             yield "script", href, urljoin(base, href), None, None, None
@@ -165,28 +165,31 @@ def _page_rows(platform: str, listing: str, html: str) -> Iterator[tuple]:
 _ROWS = "listing_url string, source_platform string, pos int, discovery_method string, href string, url string, title string, company string, body string"
 
 
-def page_items(pages: DataFrame, url: str = "url", html: str = "html", platform: Column | None = None) -> DataFrame:
+def page_items(pages: DataFrame, url: str = "url", html: str = "html", platform: Column | None = None, more: dict | None = None, more_bases: dict[str, str] | None = None) -> DataFrame:
     """A row for each anchor, card, script link and API body of a page."""
+    rules, bases = LINK_RULES | (more or {}), BASES | (more_bases or {})
     rows = pages.select(F.col(url).alias("listing_url"), (platform if platform is not None else urls.platform(url)).alias("source_platform"), F.col(html).alias("html")).filter("listing_url IS NOT NULL")
 
     def run(frames):
         for f in frames:
-            out = [(u, p, i, *row) for u, p, h in zip(f["listing_url"], f["source_platform"], f["html"]) for i, row in enumerate(_page_rows(p, u, h))]
+            out = [(u, p, i, *row) for u, p, h in zip(f["listing_url"], f["source_platform"], f["html"]) for i, row in enumerate(_page_rows(p, u, h, rules, bases))]
             yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in _ROWS.split(", ")])
 
     return rows.mapInPandas(run, _ROWS)
 
 
-def detail_links(pages: DataFrame, url: str = "url", html: str = "html", platform: Column | None = None) -> DataFrame:
+def detail_links(pages: DataFrame, url: str = "url", html: str = "html", platform: Column | None = None, more: dict | None = None, more_bases: dict[str, str] | None = None) -> DataFrame:
     """listing_url, url, title, company, source_platform, discovery_method, ord: a listing's links to details, each once.
 
     Platforms have their rules on anchors; others take anchors of the same host that look like details. Cards come
-    first, then anchors, links in scripts and in API bodies.
+    first, then anchors, links in scripts and in API bodies. ``more`` and ``more_bases`` add platforms, or replace their rules: name to what
+    an anchor must match, what it must not, and the patterns of links in scripts; name to where relative links lead. ``platform`` names them.
     """
-    found = page_items(pages, url, html, platform).withColumn("ord", F.col("pos").cast("long"))
-    known, place = F.col("source_platform").isin(*(p for p in LINK_RULES if p != "generic")), F.concat(urls.path("url"), F.when(urls.query("url") != "", F.concat(F.lit("?"), urls.query("url"))).otherwise(""))
+    rules = LINK_RULES | (more or {})
+    found = page_items(pages, url, html, platform, more, more_bases).withColumn("ord", F.col("pos").cast("long"))
+    known, place = F.col("source_platform").isin(*(p for p in rules if p != "generic")), F.concat(urls.path("url"), F.when(urls.query("url") != "", F.concat(F.lit("?"), urls.query("url"))).otherwise(""))
     fits = F.lit(False)
-    for name, (must, never, _) in LINK_RULES.items():
+    for name, (must, never, _) in rules.items():
         c = F.col("href") if name in ("dealls", "kalibrr", "glints", "jobstreet") else place if name != "generic" else F.col("url")
         ok = matches_any(c, [must]) & (~matches_any(c, [never]) if never else F.lit(True))
         if name in ("lokerid", "prosple", "indeed", "generic"):
@@ -266,7 +269,7 @@ def field_of(fields, names) -> Column:
 
 
 def _absolute(link: Column, base: Column) -> Column:
-    return F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link).otherwise(F.concat(base, link))
+    return F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(F.regexp_extract(base, "^[^:]+:", 0), link)).otherwise(F.concat(base, link))
 
 
 def api_links(bodies: DataFrame, listing: str = "listing_url", body: str = "body", platform: str = "source_platform") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,6 +38,11 @@ def contains_any(c: Column | str, terms: Sequence[str]) -> Column:
     return F.coalesce(col(c).rlike(quoted(terms)), F.lit(False)) if any(terms) else F.lit(False)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed a single time, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
 def listed(terms: Sequence[str]) -> Column:
     """The terms as one literal array, so that the expression's depth does not grow with the lexicon."""
     return F.array(*(F.lit(t) for t in terms)) if terms else F.array().cast("array<string>")
@@ -74,11 +79,18 @@ def first_group(c: Column | str, groups: Sequence[tuple[str, Sequence[str]]], de
 def count_words_in_context(c: Column | str, terms: Sequence[str], unless: str, around: int = 60) -> Column:
     """How many terms stand as words in the text, unless ``unless`` is found around their first place."""
     c, found = col(c), []
+
+    def stands(t: str) -> Callable[[Column], Column]:
+        def at_first_place(at: Column) -> Column:
+            begin = F.greatest(at - around, F.lit(1))
+            window = F.substring(c, begin, at + len(t) + around - begin)
+            return F.when((at > 0) & ~window.rlike("(?iU)" + unless), 1).otherwise(0)
+
+        return at_first_place
+
     for t in terms:
-        at = F.regexp_instr(c, F.lit(r"(?U)\b\Q" + t + r"\E\b"))
-        begin = F.greatest(at - around, F.lit(1))
-        window = F.substring(c, begin, at + len(t) + around - begin)
-        found.append(F.when((at > 0) & ~window.rlike("(?iU)" + unless), 1).otherwise(0))
+        word = F.regexp_instr(c, F.lit(r"(?U)\b\Q" + t + r"\E\b"))
+        found.append(F.when(F.contains(c, F.lit(t)), once(word, stands(t))).otherwise(0))  # most texts do not even contain it
     return added(found)
 
 

@@ -33,6 +33,15 @@ def attribute(details: DataFrame, links: DataFrame, url: str = "url", listing: s
     return details.join(last, urls.canonical(details[url]) == F.col("_u"), "left").drop("_u")
 
 
+def with_hit(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """Rows with the company that the first search hit or card of their canonical url names, where the page names none."""
+    if "company" not in hits.columns:
+        return rows
+    named = hits.filter(blank_to_null("company").isNotNull()).groupBy(urls.canonical("url").alias("_u")).agg(F.min_by("company", "ord").alias("_company"))
+    joined = rows.join(named, urls.canonical(rows["url"]) == F.col("_u"), "left").withColumn("company", F.coalesce(blank_to_null("company"), F.col("_company")))
+    return joined.select(rows.columns)
+
+
 def expand(terms: DataFrame, templates: DataFrame, out: str = "query") -> DataFrame:
     """Every term in every template, term by term. Both are lists of settings, not data."""
     made = F.replace(F.replace("template", F.lit("{term}"), F.col("term")), F.lit("{location}"), F.col("location"))

@@ -111,9 +111,6 @@ def verdict(found: DataFrame) -> DataFrame:
     return rows.withColumn("verdict", F.when(F.col("issues") > 0, "FAIL").when(F.col("warnings") > 0, "PASS WITH WARNINGS").otherwise("PASS"))
 
 
-BAD_TITLES = (r"explore jobs", r"lowongan kerja populer", r"lowongan kerja full.?time", r"lowongan kerja magang", r"lowongan kerja di indonesia", r"job vacancy.*opportunit", r"cari lowongan", r"browse jobs", r"find jobs")
-
-
 def result_rules(lexicon: Lexicon, target: str | None = None) -> list[Rule]:
     """The gate over stored results."""
     c = F.col
@@ -126,7 +123,7 @@ def result_rules(lexicon: Lexicon, target: str | None = None) -> list[Rule]:
     rules = [
         Rule("LISTING URL", urls.is_listing("source_url") | urls.is_listing("detail_url")),
         Rule("TRACKING URL", urls.has_tracking("source_url") | urls.has_tracking("detail_url")),
-        Rule("BAD TITLE", matches_any(lowered("title"), BAD_TITLES)),
+        Rule("BAD TITLE", matches_any(lowered("title"), V.BAD_TITLES)),
         Rule("NOT INTERN", ~F.coalesce("is_internship", F.lit(False)) & ~contains_any(F.concat(lowered("title"), F.lit("\n"), lowered("raw_text", 2000)), ("intern", "internship", "magang", "trainee", "apprentice"))),
         Rule("BAD SALARY", (pay != "") & ((F.length(pay) < 4) | pay.rlike("(?i)^[A-Z]+,?$") | (F.length(digits) > 15))),
         Rule("SALARY CONTRADICTION", (pay != "") & contains_any(text, ("perusahaan tidak menampilkan gaji", "salary not displayed")), False),

@@ -108,9 +108,11 @@ def page_classify(spark, d):
     return t(spark, d, "pages").select("page_id", F.when(listing, "listing").otherwise("detail").alias("page_type"))
 
 
-@query("SELECT page_id, regexp_matches(lower(regexp_extract(url || '.pdf', '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)), '\\.(pdf|doc|docx|xls|xlsx|zip|rar|png|jpg|jpeg|gif|mp4)$') AS is_binary FROM pages")
+@query("SELECT page_id, page_id % 3 <> 2 AS is_binary FROM pages")
 def url_binary_filter(spark, d):
-    return t(spark, d, "pages").select("page_id", urls.is_binary(F.concat("url", F.lit(".pdf"))).alias("is_binary"))
+    k = F.col("page_id") % 3
+    plain = F.regexp_extract("url", "^[^?#]*", 0)
+    return t(spark, d, "pages").select("page_id", urls.is_binary(F.when(k == 0, F.concat(plain, F.lit(".pdf"))).when(k == 1, F.concat(plain, F.lit("/a.PNG?x=1#y"))).otherwise(F.concat(plain, F.lit("?file=a.zip")))).alias("is_binary"))
 
 
 @query("SELECT page_id, regexp_matches(lower(url), '/blog|/article|/tips|/career-advice|/course|/bootcamp|/kelas|/login|/signup') AS bad, regexp_matches(url, '(?i)/careers?/.+|/jobs?/(view/)?\\d+') AS detail FROM pages")
@@ -167,9 +169,9 @@ def url_prescore(spark, d):
 _NORM = "regexp_replace(regexp_replace(trim(lower({c})), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g')"
 
 
-@query("SELECT doc_id, md5(" + _NORM.format(c="source") + " || '|' || '' || '|' || " + _NORM.format(c="lang") + " || '|' || " + _NORM.format(c="substr(text, 1, 80)") + ") AS canonical_key FROM documents")
+@query("SELECT doc_id, md5(" + _NORM.format(c="source") + " || '|' || '' || '|' || " + _NORM.format(c="lang") + " || '|' || " + _NORM.format(c="text") + ") AS canonical_key FROM documents")
 def text_normalize_key(spark, d):
-    return t(spark, d, "documents").select("doc_id", text.canonical_key(F.substring("text", 1, 80), "source", F.lit(None).cast("string"), "lang", F.lit("")).alias("canonical_key"))
+    return t(spark, d, "documents").select("doc_id", text.canonical_key("text", "source", F.lit(None).cast("string"), "lang", F.lit("")).alias("canonical_key"))
 
 
 @query(
@@ -213,14 +215,14 @@ def decision_list_gate(spark, d):
 
 
 @query(
-    """WITH x AS (SELECT doc_id, lower(substr(text, 1, 100)) AS t, lower(substr(text, 1, 1500)) AS h FROM documents),
+    """WITH x AS (SELECT doc_id, lower(text) AS t, lower(substr(text, 1, 1500)) AS h FROM documents),
     r AS (SELECT doc_id, CASE WHEN contains(t, 'license') AND NOT contains(t, 'mit ') THEN 70 + 10 * CAST(contains(h, 'apache') AS INT) END AS a,
           CASE WHEN (contains(t, 'the ') OR contains(t, 'der ')) AND NOT contains(t, 'les ') THEN 70 + 10 * CAST(contains(h, 'and ') AS INT) + 10 * CAST(contains(h, 'of ') AS INT) END AS b,
           CASE WHEN contains(t, 'les ') THEN 70 + 10 * CAST(contains(h, 'des ') AS INT) END AS c FROM x)
     SELECT doc_id, CAST(coalesce(greatest(a, b, c), 0) AS INT) AS confidence, CASE WHEN greatest(a, b, c) IS NULL THEN NULL WHEN a = greatest(a, b, c) THEN 'Frontend Developer' WHEN b = greatest(a, b, c) THEN 'Backend Developer' ELSE 'Actuarial' END AS role FROM r"""
 )
 def label_by_best_rule(spark, d):
-    rows = t(spark, d, "documents").withColumn("r", classify.role(F.substring("text", 1, 100), "text", LEXICON))
+    rows = t(spark, d, "documents").withColumn("r", classify.role("text", "text", LEXICON))
     return rows.select("doc_id", F.col("r.confidence").alias("confidence"), F.col("r.name").alias("role"))
 
 
@@ -260,10 +262,13 @@ def quality_tier(spark, d):
 
 
 @query(
-    """SELECT p_partkey, CASE WHEN p_brand IS NULL THEN NULL ELSE 'tech' END AS family, CASE WHEN regexp_matches(lower(p_name || chr(10) || p_brand || chr(10) || p_type), '\\b(web)\\b') THEN 'web' ELSE 'general' END AS specialization, 'software_engineering' AS grp FROM part"""
+    """WITH x AS (SELECT p_partkey, p_size % 3 AS k, CASE p_size % 6 WHEN 0 THEN 'game' WHEN 1 THEN 'mobile' WHEN 2 THEN 'qa' WHEN 3 THEN 'data' WHEN 4 THEN 'backend' ELSE 'general' END AS s FROM part)
+    SELECT p_partkey, CASE k WHEN 0 THEN 'tech' WHEN 1 THEN 'data' ELSE 'general' END AS family, s AS specialization, CASE k WHEN 0 THEN CASE WHEN s IN ('data', 'qa') THEN s ELSE 'software_engineering' END WHEN 1 THEN 'data' END AS grp FROM x"""
 )
 def taxonomy(spark, d):
-    rows = t(spark, d, "part").withColumn("x", fields.taxonomy("p_brand", "p_name", "p_type", F.lit("tech")))
+    k, w = F.col("p_size") % 3, F.col("p_size") % 6
+    words = F.when(w == 0, " Unity artist").when(w == 1, " Android").when(w == 2, " Tester").when(w == 3, " BI").when(w == 4, " API").otherwise(" cook")
+    rows = t(spark, d, "part").withColumn("x", fields.taxonomy("p_brand", F.concat("p_name", words), "p_type", F.when(k == 0, "tech").when(k == 1, "data")))
     return rows.select("p_partkey", F.col("x.family").alias("family"), F.col("x.specialization").alias("specialization"), F.col("x.grp").alias("grp"))
 
 
@@ -329,7 +334,7 @@ _DOC_SCORE = """WITH x AS (SELECT d.doc_id, lower(text) AS low, quality, toxic,
     p AS (SELECT doc_id, 30 * CAST(contains(low, 'the') AS INT) AS internship_score, 25 * quality AS role_match_score, 10 * CAST(lang = 'en' AS INT) AS metadata_completeness_score, CASE WHEN contains(low, 'worthless') THEN -40 WHEN contains(low, 'disgusting') THEN -35 ELSE 0 END - 50 * toxic AS penalty_score FROM x)"""
 
 
-@query(_DOC_SCORE + " SELECT doc_id, CAST(internship_score AS INT) AS internship_score, CAST(role_match_score AS INT) AS role_match_score, CAST(penalty_score AS INT) AS penalty_score, CAST(greatest(0, least(100, internship_score + role_match_score + metadata_completeness_score + penalty_score)) AS INT) AS final_score FROM p")
+@query(_DOC_SCORE + " SELECT doc_id, CAST(internship_score AS INT) AS internship_score, CAST(role_match_score AS INT) AS role_match_score, CAST(penalty_score AS INT) AS penalty_score, CAST(metadata_completeness_score AS INT) AS metadata_completeness_score, CAST(greatest(0, least(100, internship_score + role_match_score + metadata_completeness_score + penalty_score)) AS INT) AS final_score FROM p")
 def score_breakdown(spark, d):
     rows = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").withColumn("low", F.lower("text"))
     parts = {
@@ -337,7 +342,7 @@ def score_breakdown(spark, d):
         "penalty": score.first_points(F.col("low"), [("worthless", -40), ("disgusting", -35)]) - F.col("toxic") * 50,
     }
     b = F.col("score_breakdown")
-    return score.with_total(rows, parts).select("doc_id", b["internship_score"].alias("internship_score"), b["role_match_score"].alias("role_match_score"), b["penalty_score"].alias("penalty_score"), b["final_score"].alias("final_score"))
+    return score.with_total(rows, parts).select("doc_id", b["internship_score"].alias("internship_score"), b["role_match_score"].alias("role_match_score"), b["penalty_score"].alias("penalty_score"), b["metadata_completeness_score"].alias("metadata_completeness_score"), b["final_score"].alias("final_score"))
 
 
 @query("SELECT count(*) FILTER (WHERE c_acctbal >= 75) AS high, count(*) FILTER (WHERE c_acctbal >= 40 AND c_acctbal < 75) AS mid, count(*) FILTER (WHERE c_acctbal < 40) AS low FROM customer")
@@ -361,18 +366,18 @@ def diversified_rank(spark, d):
 
 
 @query(
-    """WITH r AS (SELECT o_orderkey, o_orderpriority AS grp, CAST(floor(o_totalprice) AS BIGINT) AS score FROM orders WHERE o_orderkey < 400), g AS (SELECT grp, count(*) AS n, min(o_orderkey) AS f FROM r GROUP BY grp),
+    """WITH r AS (SELECT o_orderkey, o_orderpriority AS grp, CAST(floor(o_totalprice) AS BIGINT) AS score FROM orders), g AS (SELECT grp, count(*) AS n, min(o_orderkey) AS f FROM r GROUP BY grp),
     i AS (SELECT grp, row_number() OVER (ORDER BY n DESC, f) AS p, greatest(3, ceil(50.0 / count(*) OVER ())) AS quota FROM g), k AS (SELECT r.*, p, quota, row_number() OVER (PARTITION BY r.grp ORDER BY score DESC, o_orderkey) AS rn FROM r JOIN i USING (grp)),
     o AS (SELECT *, row_number() OVER (ORDER BY rn > quota, CASE WHEN rn <= quota THEN rn ELSE p END, CASE WHEN rn <= quota THEN p ELSE rn END) AS place FROM k) SELECT o_orderkey, grp, CAST(place AS INT) AS place FROM o WHERE place <= 50"""
 )
 def quota_round_robin(spark, d):
-    rows = t(spark, d, "orders").filter("o_orderkey < 400").select("o_orderkey", F.col("o_orderpriority").alias("grp"), F.floor("o_totalprice").alias("score"))
+    rows = t(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("grp"), F.floor("o_totalprice").alias("score"))
     return rank.round_robin(rows, "grp", "score", "o_orderkey", 50).select("o_orderkey", "grp", "place")
 
 
-@query("SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 100")
+@query("SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey")
 def stable_priority(spark, d):
-    return rank.prioritized(t(spark, d, "part"), "p_size", "p_partkey").limit(100).select("p_partkey", "p_size")
+    return rank.prioritized(t(spark, d, "part"), "p_size", "p_partkey").select("p_partkey", "p_size")
 
 
 @query("SELECT o_custkey, arg_max(o_orderkey, struct_pack(a := o_totalprice, b := -o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey")
@@ -381,37 +386,36 @@ def argmax_by_key(spark, d):
 
 
 @query(
-    """WITH x AS (SELECT doc_id, 'http://h.example/' || (doc_id // 2) AS url, n_chars AS score, """ + _NORM.format(c="source") + """ || '|' || '' || '|' || """ + _NORM.format(c="lang") + """ || '|' || """ + _NORM.format(c="substr(text, 1, 60)") + """ AS k FROM documents),
+    """WITH x AS (SELECT doc_id, 'http://h.example/' || (doc_id // 2) AS url, n_chars AS score, """ + _NORM.format(c="source") + """ || '|' || '' || '|' || """ + _NORM.format(c="lang") + """ || '|' || """ + _NORM.format(c="text") + """ AS k FROM documents),
     u AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY url ORDER BY score DESC, doc_id) = 1) SELECT doc_id, md5(k) AS canonical_key FROM u QUALIFY row_number() OVER (PARTITION BY md5(k) ORDER BY score DESC, doc_id) = 1"""
 )
 def exact_dedupe_two_stage(spark, d):
-    rows = t(spark, d, "documents").select("doc_id", F.concat(F.lit("http://h.example/"), F.floor(F.col("doc_id") / 2).cast("string")).alias("source_url"), F.col("n_chars").alias("score"), F.col("doc_id").alias("ord"), F.substring("text", 1, 60).alias("title"), F.col("source").alias("company"), F.lit(None).cast("string").alias("role"), F.col("lang").alias("location"))
+    rows = t(spark, d, "documents").select("doc_id", F.concat(F.lit("http://h.example/"), F.floor(F.col("doc_id") / 2).cast("string")).alias("source_url"), F.col("n_chars").alias("score"), F.col("doc_id").alias("ord"), F.col("text").alias("title"), F.col("source").alias("company"), F.lit(None).cast("string").alias("role"), F.col("lang").alias("location"))
     return dedupe.exact(rows).select("doc_id", "canonical_key")
 
 
 def _names(spark, d):
-    """Titles of two to five words with near copies: the first words of documents."""
-    words = F.slice(F.split(text.normalize("text"), " "), 1, (4 + F.col("doc_id") % 2).cast("int"))
-    return t(spark, d, "documents").select("doc_id", F.array_join(words, " ").alias("title"), F.col("lang").alias("role"))
+    """The whole titles of pages, by language of their url's path."""
+    return t(spark, d, "pages").select("page_id", html.title("html").alias("title"), F.regexp_extract(urls.path("url"), "^/([^/]*)", 1).alias("role"))
 
 
 @query()
 def fuzzy_dup_pairs(spark, d):
-    return dedupe.similar_pairs(_names(spark, d), "doc_id", "title", "role").select("a", "b")
+    return dedupe.similar_pairs(_names(spark, d), "page_id", "title", "role").select("a", "b")
 
 
 @query()
 def greedy_fuzzy_dedupe(spark, d):
     rows = _names(spark, d)
-    return dedupe.greedy(rows, dedupe.similar_pairs(rows, "doc_id", "title", "role"), "doc_id", [F.col("doc_id")]).select("doc_id", "title")
+    return dedupe.greedy(rows, dedupe.similar_pairs(rows, "page_id", "title", "role"), "page_id", [F.col("page_id")]).select("page_id", "title")
 
 
 # Joins
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def anti_new_rows(spark, d):
-    return lookup.new_rows(t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+    return lookup.new_rows(t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -427,15 +431,18 @@ def ordered_lookup(spark, d):
     return lookup.in_order(wanted, cached, fetched, key="c_custkey").select("ord", "c_custkey", "origin")
 
 
-@query("SELECT o_orderkey, arg_max(l_suppkey, struct_pack(a := l_linenumber, b := l_suppkey)) AS l_suppkey FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+@query("SELECT o_orderkey, CAST(arg_max(l_suppkey, l_linenumber * 1000000 + l_suppkey) AS VARCHAR) AS listing_url FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def source_attribution(spark, d):
-    last = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_suppkey", F.struct("l_linenumber", "l_suppkey")).alias("l_suppkey"))
-    return t(spark, d, "orders").join(last, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "l_suppkey")
+    key = lambda c: F.col(c).cast("string")
+    details = t(spark, d, "orders").select("o_orderkey", F.concat(F.lit("https://h.example/o/"), key("o_orderkey"), F.lit("?utm_source=x")).alias("url"))
+    links = t(spark, d, "lineitem").select(F.concat(F.lit("https://H.example/o/"), key("l_orderkey"), F.lit("/#a")).alias("url"), key("l_suppkey").alias("listing_url"), (F.col("l_linenumber") * 1_000_000 + F.col("l_suppkey")).alias("ord"))
+    return lookup.attribute(details, links).select("o_orderkey", "listing_url")
 
 
-@query("SELECT o_orderkey, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+@query("SELECT o_orderkey AS id, c_custkey AS opportunity_id, o_orderstatus AS status, c_name AS title, c_mktsegment AS company, CAST(floor(c_acctbal) AS BIGINT) AS score FROM orders JOIN customer ON o_custkey = c_custkey")
 def applications_join(spark, d):
-    return t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey", "c_name")
+    applications = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("opportunity_id"), F.col("o_orderstatus").alias("status"))
+    return lookup.board(applications, t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("company"), F.floor("c_acctbal").alias("score")))
 
 
 @query("SELECT '\"' || n_name || '\" \"' || r_name || '\"' AS query, CAST(n_nationkey * 1000 + r_regionkey AS BIGINT) AS ord FROM nation, region")
@@ -526,9 +533,13 @@ def new_today(spark, d):
     return metrics.seen_on(t(spark, d, "orders"), "1996-03-05", "o_orderdate")
 
 
-@query("SELECT count(DISTINCT event_type) AS platforms, count(*) AS total, count(DISTINCT event_type) = 1 AS single_source, count(DISTINCT event_type) <= 1 AND count(*) > 1 AS dashboard_warning, count(DISTINCT event_type) = 1 AND count(*) > 1 AS gate_warning FROM events WHERE event_type = 'view'")
+_FLAGS = "count(DISTINCT event_type) AS platforms, count(*) AS total, count(DISTINCT event_type) = 1 AS single_source, count(DISTINCT event_type) <= 1 AND count(*) > 1 AS dashboard_warning, count(DISTINCT event_type) = 1 AND count(*) > 1 AS gate_warning"
+
+
+@query(f"SELECT {_FLAGS} FROM events UNION ALL SELECT {_FLAGS} FROM events WHERE event_type = 'view' UNION ALL SELECT {_FLAGS} FROM events WHERE value < 0")
 def diversity_flags(spark, d):
-    return metrics.diversity(t(spark, d, "events").filter("event_type = 'view'"), "event_type")
+    e = t(spark, d, "events")
+    return metrics.diversity(e, "event_type").union(metrics.diversity(e.filter("event_type = 'view'"), "event_type")).union(metrics.diversity(e.filter("value < 0"), "event_type"))
 
 
 @query("SELECT text, count(*) AS n FROM documents WHERE text <> '' GROUP BY text HAVING count(*) > 1")
@@ -554,9 +565,13 @@ def gate_issues(spark, d):
     return found.select(F.col("subject").cast("long").alias("doc_id"), "rule", "hard")
 
 
-@query("SELECT count(*) AS issues, CAST(0 AS BIGINT) AS warnings, CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM documents WHERE n_chars < 200")
+@query(
+    """SELECT count(*) FILTER (WHERE n_chars < 200) AS issues, count(*) FILTER (WHERE contains(text, 'icense')) AS warnings, CASE WHEN count(*) FILTER (WHERE n_chars < 200) > 0 THEN 'FAIL' WHEN count(*) FILTER (WHERE contains(text, 'icense')) > 0 THEN 'PASS WITH WARNINGS' ELSE 'PASS' END AS verdict FROM documents
+    UNION ALL SELECT 0, count(*), 'PASS WITH WARNINGS' FROM documents UNION ALL SELECT 0, 0, 'PASS'"""
+)
 def gate_verdict(spark, d):
-    return metrics.verdict(metrics.issues(t(spark, d, "documents"), [metrics.Rule("SHORT", F.col("n_chars") < 200)], "doc_id"))
+    of = lambda *rules: metrics.verdict(metrics.issues(t(spark, d, "documents"), list(rules), "doc_id"))
+    return of(metrics.Rule("SHORT", F.col("n_chars") < 200), metrics.Rule("LICENSE", F.contains("text", F.lit("icense")), False)).union(of(metrics.Rule("ANY", F.col("n_chars") >= 0, False))).union(of(metrics.Rule("NONE", F.col("n_chars") < 0)))
 
 
 @query("SELECT count(*) AS total, max(o_totalprice) AS max_score, count(DISTINCT o_orderpriority) AS sources FROM orders")
@@ -577,10 +592,15 @@ def outcome_labels(spark, d):
 # JSON
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+@query(
+    """SELECT event_id, 0 AS pos, 'object' AS kind, NULL AS value, 'T' || event_id AS title, NULL AS k FROM events UNION ALL SELECT event_id, 1, 'string', 'T' || event_id, NULL, NULL FROM events UNION ALL
+    SELECT event_id, 2, 'object', NULL, 'n', json_extract_string(props, '$.k') FROM events UNION ALL SELECT event_id, 3, 'string', 'n', NULL, NULL FROM events UNION ALL SELECT event_id, 4, 'scalar', json_extract_string(props, '$.k'), NULL, NULL FROM events UNION ALL
+    SELECT event_id, 5, 'scalar', NULL, NULL, NULL FROM events"""
+)
 def json_scalar_walk(spark, d):
-    nodes = html.json_nodes(t(spark, d, "events").select("event_id", "props"), "event_id", "props").filter("kind = 'object'")
-    return nodes.select("event_id", html.field_of(F.col("fields"), ("k",)).alias("k"))
+    body = F.concat(F.lit('{"Job-Title": "T'), F.col("event_id").cast("string"), F.lit('", "x": [{"name": "n", "k": '), F.get_json_object("props", "$.k"), F.lit("}, null]}"))
+    nodes = html.json_nodes(t(spark, d, "events").select("event_id", body.alias("body")), "event_id", "body")
+    return nodes.select("event_id", "pos", "kind", "value", html.field_of(F.col("fields"), html.TITLE_KEYS).alias("title"), html.field_of(F.col("fields"), ("k",)).alias("k"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -615,9 +635,9 @@ def token_search(spark, d):
     return lookup.search(t(spark, d, "documents"), "the src1", ["text", "source"]).select("doc_id")
 
 
-@query("SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) AS w FROM documents) WHERE w <> '' GROUP BY doc_id")
+@query("SELECT w AS token, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) AS w FROM documents) WHERE w <> '' GROUP BY w")
 def token_index(spark, d):
-    return lookup.token_index(t(spark, d, "documents"), "doc_id", ["text"]).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return lookup.token_index(t(spark, d, "documents"), "doc_id", ["text"]).groupBy("token").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS title, 'medium' AS dashboard_quality, 'unknown' AS active_status, CAST(floor(o_totalprice) AS INT) AS score, 'Tidak dicantumkan' AS display_location FROM orders")
@@ -664,12 +684,12 @@ def early_filter_and_mixed(spark, d):
     return t(spark, d, "documents").select("doc_id", classify.passes_early("source").alias("passes"), fields.is_mixed_employment("source", "text").alias("mixed"))
 
 
-@query(
-    """WITH x AS (SELECT page_id, url, """ + _TITLE + """ AS title, CASE WHEN page_id % 4 = 0 THEN 'listing' ELSE 'detail' END AS page_type FROM pages)
-    SELECT page_id, CASE WHEN regexp_matches(lower(title), '\\b(closed|expired|no longer accepting|not accepting applications|job is no longer available|lowongan ditutup|ditutup|kadaluarsa|tidak menerima lamaran)\\b') THEN 'closed' ELSE 'listing_or_category_url' END AS reason FROM x"""
-)
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'closed' ELSE 'listing_or_category_url' END AS reason FROM pages")
 def page_verification(spark, d):
-    pages = t(spark, d, "pages").withColumn("title", html.title("html")).withColumn("text_content", F.lit("")).withColumn("page_type", F.when(F.col("page_id") % 4 == 0, "listing").otherwise("detail"))
+    """Details, closed details, listings by type, by title and by url."""
+    k = F.col("page_id") % 5
+    url = F.concat(F.lit("https://work.example/jobs/"), F.when(k == 4, "search/").otherwise(""), F.col("page_id").cast("string"))
+    pages = t(spark, d, "pages").select("page_id", url.alias("url"), F.when(k == 3, "Browse jobs here").otherwise("Intern").alias("title"), F.when(k == 1, "Lowongan ditutup kemarin").otherwise("Apply").alias("text_content"), F.when(k == 2, "listing").otherwise("detail").alias("page_type"))
     return extract.verified(pages).select("page_id", F.col("rejection_reason").alias("reason"))
 
 
@@ -714,7 +734,7 @@ def watch_lists(spark, d):
 @query()
 def extract_documents(spark, d):
     """The whole extractor over documents as pages, with the fixture lexicon: accepted rows and rejections by reason."""
-    pages = t(spark, d, "documents").select(F.concat(F.lit("https://x.example/job/"), F.col("doc_id").cast("string")).alias("url"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("text_content"), F.lit("detail").alias("page_type"))
+    pages = t(spark, d, "documents").select(F.concat(F.lit("https://x.example/job/"), F.col("doc_id").cast("string")).alias("url"), F.col("text").alias("title"), F.col("text").alias("text_content"), F.lit("detail").alias("page_type"))
     found = extract.extract(pages, LEXICON)
     return found.groupBy(F.coalesce(F.split("rejection_reason", ":")[0], F.lit("accepted")).alias("outcome"), "role").agg(F.count("*").alias("n"))
 
@@ -726,10 +746,15 @@ def listing_links(spark, d):
     return html.detail_links(pages).select("listing_url", "url", "discovery_method")
 
 
-@query("SELECT count(*) AS searched_urls, count(DISTINCT event_type) AS platforms, count(*) FILTER (WHERE value >= 50) AS accepted FROM events")
+@query(
+    """SELECT event_type AS platform, (SELECT count(*) FROM events) AS searched_urls, (SELECT count(DISTINCT event_type) FROM events) AS platforms, count(*) AS hits, count(*) FILTER (WHERE value >= 50) AS accepted, count(*) FILTER (WHERE value < 50) AS rejected,
+       count(*) FILTER (WHERE value < 50 AND user_id % 2 = 0) AS even FROM events GROUP BY event_type"""
+)
 def run_metadata(spark, d):
-    hits = t(spark, d, "events").select(F.col("event_type").alias("source_platform"), F.lit("r").alias("rejection_reason"), "value")
+    hits = t(spark, d, "events").select(F.col("event_type").alias("source_platform"), F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("rejection_reason"), "value")
     good = hits.filter("value >= 50")
     one = runs.run_metadata(hits, good, good, good, hits.filter("value < 50"))
-    accepted = F.aggregate(F.map_values("accepted_by_platform"), F.lit(0).cast("long"), lambda a, b: a + b)
-    return one.select("searched_urls", F.size("platforms_with_hits").cast("long").alias("platforms"), accepted.alias("accepted"))
+    of = lambda c: F.coalesce(F.try_element_at(F.col(c), F.col("platform")), F.lit(0))
+    rows = one.withColumn("platform", F.explode("platforms_with_hits"))
+    even = F.coalesce(F.try_element_at(F.try_element_at("rejection_reasons_by_platform", F.col("platform")), F.lit("even")), F.lit(0))
+    return rows.select("platform", "searched_urls", F.size("platforms_with_hits").cast("long").alias("platforms"), of("raw_results_by_platform").alias("hits"), of("accepted_by_platform").alias("accepted"), of("rejected_by_platform").alias("rejected"), even.alias("even"))

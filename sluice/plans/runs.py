@@ -63,16 +63,27 @@ def research(hits: DataFrame, pages: DataFrame, s: Settings, most: int, listing_
     links = dedupe.kept_table(hits.sparkSession, dedupe.richest_links(html.detail_links(listings)))
     follow = links.select("url", "title", F.lit("").alias("snippet"), F.lit("detail").alias("page_type"), "source_platform", "ord", "company")
     follow = follow.withColumn("url_score", score.url_score("url", "title", "snippet", "page_type", "source_platform", s.target))
-    chosen = rank.round_robin(follow, "source_platform", "url_score", "ord", most)
+    chosen = rank.round_robin(follow, "source_platform", "url_score", "ord", rank.budget(most, fetched.count()))
     more = extract.verified(pages.join(chosen.select("url"), "url", "left_semi"))
     cards = extract.card_pages(lookup.new_rows(chosen, pages))
     good = checked.filter("rejection_reason IS NULL").drop("rejection_reason").unionByName(more.filter("rejection_reason IS NULL").drop("rejection_reason"), allowMissingColumns=True).unionByName(cards, allowMissingColumns=True)
     rows, bad = accept(good, s, audit_scores=False)
+    rows = lookup.with_hit(rows, hits.unionByName(chosen, allowMissingColumns=True))
     audit = checked.unionByName(more).filter("rejection_reason IS NOT NULL")
     audit = audit.select("url", "title", F.coalesce("source_platform", urls.platform("url")).alias("source_platform"), "page_type", "rejection_reason", F.lit(0).alias("internship_confidence"), F.lit(0).alias("role_confidence"), F.lit(0).alias("score"), F.substring("text_content", 1, 1000).alias("text_snippet"))
     return rows, audit.unionByName(bad), ranked
 
 
+def candidates(links: DataFrame, accepted: DataFrame, rejected: DataFrame, target: str | None = None) -> DataFrame:
+    """The audit rows of discovered links: accepted, rejected with the reason, or only discovered."""
+    good = accepted.select(urls.canonical("url").alias("_u")).distinct().withColumn("_good", F.lit(True))
+    bad = rejected.groupBy(urls.canonical("url").alias("_b")).agg(F.min("rejection_reason").alias("rejection_reason"))
+    rows = links.withColumn("_c", urls.canonical("url")).join(good, F.col("_c") == F.col("_u"), "left").join(bad, F.col("_c") == F.col("_b"), "left")
+    status = F.when(F.col("_good"), "accepted").when(F.col("rejection_reason").isNotNull(), "rejected").otherwise("discovered")
+    score_ = F.col("target_score").cast("int") if "target_score" in links.columns else F.lit(0)
+    return rows.select("url", "listing_url", "title", "company", "source_platform", "discovery_method", score_.alias("target_score"), F.lit(target or "").alias("target_category"), status.alias("status"), F.when(~F.coalesce("_good", F.lit(False)), F.col("rejection_reason")).alias("rejection_reason"))
+
+
 def evaluate(labels: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """Predictions for labelled rows, and their confusion matrix. A row's own target comes before the run's."""
     own = F.coalesce("target_category", F.lit(s.target)) if "target_category" in labels.columns else F.lit(s.target).cast("string")

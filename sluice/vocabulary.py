@@ -25,6 +25,8 @@ LISTING_TITLES = (
     r"^\d+\s+(?:pekerjaan|jobs?)\b", r"explore jobs", r"job vacancy.*opportunit", r"lowongan kerja di", r"find jobs", r"job board", r"cari lowongan", r"loker terbaru",
     r"browse jobs", r"anda sudah melihat semua pekerjaan",
 )
+#: Titles that the gate over results turns down.
+BAD_TITLES = (r"explore jobs", r"lowongan kerja populer", r"lowongan kerja full.?time", r"lowongan kerja magang", r"lowongan kerja di indonesia", r"job vacancy.*opportunit", r"cari lowongan", r"browse jobs", r"find jobs")
 DETAIL_URLS = (
     r"glints\.com/.*/opportunities/jobs/", r"dealls\.com/loker/[a-z0-9].*~", r"kalibrr\.(?:id|com)/.*/c/.+/jobs/\d+/", r"jobstreet\.co\.id/.*/job/",
     r"prosple\.com/.*/(?:jobs-internships|graduate-jobs-internships|job)/", r"linkedin\.com/jobs/view/", r"indeed\.com/.*/viewjob\?", r"loker\.id/.*/lowongan-kerja/",

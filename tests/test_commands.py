@@ -11,5 +11,18 @@ def test_commands(spark, tmp_path, capsys):
     assert run("init") == 0 and run("ingest", f"{tmp_path}/pages") == 0 and run("list", "--limit", "5") == 0
     out = capsys.readouterr().out
     assert "added 1 rejected 1" in out and "Acme" in out
+    assert run("validate-results") in (0, 1) and "all results are of one source" not in capsys.readouterr().out
+    spark.createDataFrame([("https://dealls.com/loker", '<a href="/loker/frontend-intern~acme">Frontend Intern</a><a href="/loker/cook~acme">Cook</a>')], "url string, html string").write.parquet(f"{tmp_path}/listings")
+    spark.createDataFrame([("https://dealls.com/loker/frontend-intern~acme", "Frontend Intern", "internship, apply now", "detail", "dealls"), ("https://dealls.com/loker/cook~acme", "Cook", "x", "detail", "dealls")], "url string, title string, text_content string, page_type string, source_platform string").write.parquet(f"{tmp_path}/details")
+    assert run("crawl-sources", f"{tmp_path}/listings", f"{tmp_path}/details", "--profile", "quick") == 0 and "candidates 2\nadded 1 rejected 1" in capsys.readouterr().out
+    assert run("list-discovery") == 0
+    shown = capsys.readouterr().out
+    assert "accepted" in shown and "rejected" in shown and "Frontend Intern" in shown
+    hits = [("https://dealls.com/loker/frontend-intern~acme", "Frontend Intern", "", "detail", "dealls", 0)]
+    spark.createDataFrame(hits, "url string, title string, snippet string, page_type string, source_platform string, ord long").write.parquet(f"{tmp_path}/hits")
+    pages = spark.read.parquet(f"{tmp_path}/details").selectExpr("*", "'' AS html_content")
+    pages.write.parquet(f"{tmp_path}/fetched")
+    assert run("research", f"{tmp_path}/hits", f"{tmp_path}/fetched", "--profile", "fast") == 0 and "candidates 1" in capsys.readouterr().out
+    assert run("search", f"{tmp_path}/hits") == 0 and "added 0" in capsys.readouterr().out
     assert run("validate-dashboard-ready") in (0, 1) and run("reset") == 1 and run("plan") == 1
     assert run("plan", "--query", "react intern") == 0 and '"react intern" "Indonesia"' in capsys.readouterr().out

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sluice import vocabulary as V
+from sluice.functions import html
 from sluice.operators import dedupe, extract, lookup, metrics, queries, rank, score, upsert
 from sluice.plans import runs
 
@@ -161,13 +162,29 @@ def test_upserts_and_store(spark, tmp_path):
     assert store.read().count() == 0
 
 
-def test_queries():
+def test_queries(spark):
     terms = {"frontend": ["frontend intern", "react intern", "Frontend Intern"], "backend": ["go intern"]}
-    assert queries.terms_for("frontend", terms, " My Query ") == ["My Query", "frontend intern", "react intern"]
-    made = queries.plan(terms, "my query", "Bali", "frontend", 12)
+    assert [r.term for r in queries.terms_for(spark, "frontend", terms, " My Query ").orderBy("n").collect()] == ["My Query", "frontend intern", "react intern"]
+    made = queries.listed(queries.plan(spark, terms, "my query", "Bali", "frontend", 12))
     assert made[0] == '"my query" "Bali"' and made[1].startswith("site:dealls.com") and len(made) == 12 and len(set(made)) == 12
-    assert queries.plan(terms, None, "Bali", "tech", 3) == ['"frontend intern" "Bali"', '"react intern" "Bali"', '"go intern" "Bali"']
-    assert queries.from_raw("x", "Bali")[0] == '"x" "Bali"' and len(queries.from_raw("x", "Bali", "actuarial", {"actuarial": ["y"]})) == 2 * 8
+    assert queries.listed(queries.plan(spark, terms, None, "Bali", "tech", 3)) == ['"frontend intern" "Bali"', '"react intern" "Bali"', '"go intern" "Bali"']
+    assert queries.listed(queries.from_raw(spark, "x", "Bali"))[0] == '"x" "Bali"' and len(queries.listed(queries.from_raw(spark, "x", "Bali", "actuarial", {"actuarial": ["y"]}))) == 2 * 8
+    assert queries.listed(queries.plan(spark, {}, "alone", "Bali"))[:2] == ['"alone" "Bali"', 'site:dealls.com/loker "alone" "Lamar Cepat"'] and queries.plan(spark, {}, None, "Bali").count() == 0
+
+
+def test_more_platforms(spark):
+    page = [("https://jobs.new.example/all", '<a href="/offer/7">Seven</a><a href="/news">no</a>')]
+    df = spark.createDataFrame(page, "url string, html string")
+    got = html.detail_links(df, platform=F.lit("new"), more={"new": (r"^/offer/\d+", None, ())}, more_bases={"new": "https://www.new.example"}).collect()
+    assert [(r.url, r.title, r.source_platform) for r in got] == [("https://www.new.example/offer/7", "Seven", "new")]
+    assert html.detail_links(df).count() == 0
+
+
+def test_hits_name_companies(spark):
+    rows = spark.createDataFrame([("https://a.example/1", None, 1), ("https://a.example/2", "Own", 2), ("https://a.example/3", "", 3)], "url string, company string, n int")
+    hits = spark.createDataFrame([("https://A.example/1?utm_source=x", "Late", 5), ("https://a.example/1/", "First", 1), ("https://a.example/2", "Other", 1)], "url string, company string, ord long")
+    assert {(r.n, r.company) for r in lookup.with_hit(rows, hits).collect()} == {(1, "First"), (2, "Own"), (3, None)}
+    assert [rank.budget(10, n) for n in (0, 3, 9, 20)] == [10, 7, 5, 5]
 
 
 def test_lookups(spark):

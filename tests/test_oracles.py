@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from sluice.plans import catalogue
+from sluice.plans import cases, catalogue  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
