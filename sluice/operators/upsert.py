@@ -8,6 +8,7 @@ another row where ``null_safe`` is off, as in tables whose unique index ignores
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_
 
@@ -59,27 +60,34 @@ class Store:
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), root, jvm
 
-    def version(self) -> int:
+    def _versions(self) -> list[tuple[int, str, int, str]]:
+        """Number, stream, batch and folder of the complete versions, the newest last. A folder's name says which batch of which stream it holds, if any."""
         fs, root, jvm = self._fs()
         if not fs.exists(root):
-            return 0
+            return []
         names = [s.getPath().getName() for s in fs.listStatus(root)]
-        done = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return max(done, default=0)
+        found = [(int(m[1]), m[2] or "", int(m[3] or -1), n) for n in names if (m := re.fullmatch(r"v(\d+)(?:-([0-9a-f]+)-(\d+))?", n))]
+        return sorted(v for v in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{v[3]}/_SUCCESS")))
+
+    def version(self) -> int:
+        return self._versions()[-1][0] if self._versions() else 0
 
     def read(self) -> DataFrame:
         """Columns that older versions lack are null."""
-        v = self.version()
-        if not v:
+        have = self._versions()
+        if not have:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v}")
-
-    def write(self, rows: DataFrame) -> int:
-        v = self.version() + 1
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{v}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{have[-1][3]}")
+
+    def write(self, rows: DataFrame, stream: str = "", batch: int = -1) -> int:
+        have = self._versions()
+        v = have[-1][0] + 1 if have else 1
+        if have and not stream:
+            stream, batch = have[-1][1:3]
+        rows.write.mode("overwrite").parquet(f"{self.path}/v{v}" + (f"-{stream}-{batch}" if stream else ""))
         fs, _, jvm = self._fs()
-        for old in range(max(1, v - 5), v - 1):  # readers of the version before still find it
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}"), True)
+        for *_, old in have[:-1]:  # readers of the version before still find it
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{old}"), True)
         return v
 
     def merge(self, batch: DataFrame, keys: list[str], policy: str, order: str, **options) -> int:
@@ -89,6 +97,14 @@ class Store:
         self.write(upsert(before, batch, keys, policy, order, **options))
         return self.read().count() - n
 
+    def merge_once(self, batch: DataFrame, stream: str, number: int, keys: list[str], policy: str, order: str, **options) -> bool:
+        """Apply a stream's batch unless the table has it already; so one that is run again adds nothing, rows of null key included."""
+        have = self._versions()
+        if have and have[-1][1] == stream and have[-1][2] >= number:
+            return False
+        self.write(upsert(self.read(), batch, keys, policy, order, **options), stream, number)
+        return True
+
     def reset(self) -> int:
         return self.write(self.spark.createDataFrame([], self.schema))
 

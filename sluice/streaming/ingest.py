@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +13,11 @@ from ..operators.upsert import Store
 def ingest(spark: SparkSession, source: str, schema, store: Store, keys: list[str], policy: str, order: str, checkpoint: str, transform=lambda df: df, fmt: str = "parquet", **options) -> None:
     """Read what is new in a folder and merge it into the store, batch by batch; ends when all has been read.
 
-    A batch that is run again after a failure leaves the same rows, since each policy is idempotent.
+    A batch that is run again after a failure leaves the same rows: the store knows the last batch of the stream, which its checkpoint names.
     """
+    name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).format(fmt).load(source)
-    run = stream.writeStream.foreachBatch(lambda batch, _: store.merge(transform(batch), keys, policy, order, **options)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run = stream.writeStream.foreachBatch(lambda batch, n: store.merge_once(transform(batch), name, n, keys, policy, order, **options)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
 
 

@@ -158,6 +158,9 @@ def test_upserts_and_store(spark, tmp_path):
     store = upsert.Store(spark, str(tmp_path / "t"), base.schema)
     assert store.read().count() == 0 and store.merge(base, ["k"], "ignore", "seq") == 2 and store.merge(batch, ["k"], "ignore", "seq") == 2
     assert store.merge(batch.filter("k = 'b'"), ["k"], "ignore", "seq") == 0 and store.has_columns(["k"]) and not store.has_columns(["z"])
+    assert store.merge_once(batch, "ab", 0, ["k"], "ignore", "seq") and store.read().count() == 5
+    assert not store.merge_once(batch, "ab", 0, ["k"], "ignore", "seq") and store.merge(base.limit(0), ["k"], "ignore", "seq") == 0
+    assert not store.merge_once(batch, "ab", 0, ["k"], "ignore", "seq") and store.merge_once(batch, "cd", 0, ["k"], "ignore", "seq") and store.read().count() == 6
     store.reset()
     assert store.read().count() == 0
 
