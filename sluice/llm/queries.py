@@ -72,16 +72,18 @@ _WORDS = r"""SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS tex
 ORACLES = {
     "op3_chat": chat.ORACLE,
     "op5_substring_dedup": f"""
-        WITH d AS ({_WORDS}), at AS (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d), win AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s FROM at),
+        WITH d AS ({_WORDS}), starts AS (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d), win AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s FROM starts),
         rep AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY s) > 1), gone AS (SELECT DISTINCT r, i + k AS p FROM rep, generate_series(0, 34) t(k)),
         words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
         left_ AS (SELECT words.r, count(gone.p) AS n, string_agg(word, ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL) AS kept FROM words LEFT JOIN gone ON words.r = gone.r AND words.p = gone.p GROUP BY words.r)
         SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN left_ USING (r)""",
     "quality_base": rf"""
-        WITH d AS ({_WORDS}), at AS (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d), rep AS (SELECT r, i FROM at QUALIFY count(*) OVER (PARTITION BY r, w[i:i + 2]) > 1),
+        WITH d AS ({_WORDS}), starts AS (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d), win AS (SELECT r, i, array_to_string(w[i:i + 2], ' ') AS s FROM starts), rep AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, s) > 1),
         covered AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, generate_series(0, 2) t(k) GROUP BY r),
-        lines AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM d)
-        SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[ 	-]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        lines AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM d)
+        SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[ 	-
+]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
                len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed
         FROM d JOIN lines USING (r) LEFT JOIN covered USING (r)""",
     "pii_base": r"""

@@ -233,12 +233,12 @@ def test_substrings(docs, none):
 
 
 def test_windows_of_one_hash_are_told_apart_by_the_other(monkeypatch):
-    first, second = np.array([5, 5, 5, 9, 5], np.uint64), np.array([1, 2, 1, 4, 2], np.uint64)
+    first, second = np.array([5, 5, 5, 9, 5], np.uint64), np.array([1, 2, 1, 4, 2], np.uint32)
     order = substring_dedup.by_both(first, second)
     assert list(zip(first[order].tolist(), second[order].tolist())) == [(5, 1), (5, 1), (5, 2), (5, 2), (9, 4)]
-    rows = {"batch": [1, 2], "bucket": [0, 0], "values": [substring_dedup.pack(np.array([5, 9], np.uint64)), substring_dedup.pack(np.array([5], np.uint64))], "second": [np.array([1, 4], np.uint64).tobytes(), np.array([2], np.uint64).tobytes()], "twice": [b"\0", b"\0"]}
+    rows = {"batch": [1, 2], "bucket": [0, 0], "values": [substring_dedup.pack(np.array([5, 9], np.uint64)), substring_dedup.pack(np.array([5], np.uint64))], "second": [np.array([1, 4], np.uint32).tobytes(), np.array([2], np.uint32).tobytes()], "twice": [b"\0", b"\0"]}
     assert substring_dedup._repeats(pa.table(rows)).column("found").to_pylist() == [b"\0", b"\0"]
-    rows["second"][1] = np.array([1], np.uint64).tobytes()
+    rows["second"][1] = np.array([1], np.uint32).tobytes()
     assert substring_dedup._repeats(pa.table(rows)).column("found").to_pylist() == [b"\x80", b"\x80"]
 
 
