@@ -6,8 +6,8 @@ non-overlapping blocks of ``block`` = (window + 1) // 2 words, and the other pla
 1. Anchors: the blocks are the index; every rolling window of ``block`` words of every text probes it. Index and
    probes meet by ranges of their hash. A block that any other place probes is a hit. The probes of a range are held, its
    blocks stream past them.
-2. Extension: a hit grows into the windows of ``window`` words that hold its block. Two independent 64-bit hashes of their words
-   stand for a window, 128 bits in all (among 10^13 windows a chance pair is expected with a probability of 2e-13); those found twice or more,
+2. Extension: a hit grows into the windows of ``window`` words that hold its block. Two independent hashes of their words of 64 and 32
+   bits stand for a window (among 10^13 windows a chance pair is expected with a probability of 6e-4); those found twice or more,
    anywhere, are exact repeats. Overlapping ones make up the maximal repeats, and all words under them go, judged on the input.
 
 Hashes travel as sorted, delta-coded sets of a batch of texts, each at most once for a batch, so a passage that a third of
@@ -239,7 +239,7 @@ class _Batch:
             np.add.at(near, start + b + 1, -1)
         near = np.cumsum(near[:-1])[: len(h)] > 0
         self.places = np.flatnonzero(near & _inside(np.cumsum(sizes), sizes, len(h), window))
-        first, second = h[self.places], rolling(each, window, _SECOND)[self.places]
+        first, second = h[self.places], (rolling(each, window, _SECOND)[self.places] >> np.uint64(32)).astype(np.uint32)
         order = by_both(first, second)
         first, second = first[order], second[order]
         new = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))[: len(first)]
@@ -278,7 +278,7 @@ def _windows(window: int, block: int, buckets: int):
 def _repeats(table: pa.Table) -> pa.Table:
     """Of one bucket: for each batch, a bit for each of its windows that is found elsewhere."""
     values = [unpack(v.as_py()) for v in table.column("values")]
-    first, second = np.concatenate(values), np.concatenate([np.frombuffer(v.as_py(), np.uint64) for v in table.column("second")])
+    first, second = np.concatenate(values), np.concatenate([np.frombuffer(v.as_py(), np.uint32) for v in table.column("second")])
     own = np.concatenate([np.unpackbits(np.frombuffer(t.as_py(), np.uint8), count=len(v)).astype(bool) for t, v in zip(table.column("twice"), values)])
     order = by_both(first, second)
     first, second = first[order], second[order]
@@ -322,7 +322,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     docs = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(key, text).alias("owner"), F.col(text).alias("text"))
     size = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = min(64, max(32, (size // 4).bit_length() + 10))
-    buckets = max(4 * parts, size // bucket_bytes)
+    buckets = max(2 * parts, size // bucket_bytes)
     anchors = docs.filter("text IS NOT NULL").select("owner", "text").mapInArrow(_anchors(window, block, bits, buckets), "bucket int, index boolean, hashes binary, owners binary, numbers binary")
     hits = anchors.repartition(parts, "bucket").sortWithinPartitions("bucket", "index").mapInArrow(_hits, "owner long, number int")
     by_text = hits.groupBy("owner").agg(F.array_sort(F.collect_set("number")).alias("hits"))
