@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat, decontam, html_extract, pii, quality, simhash, substring_dedup, token_store, url_filter
+from . import bpe, chat, decontam, fill_middle, html_extract, manifest, pii, quality, simhash, substring_dedup, token_store, url_filter
 from .common import shared_dir, table
 
 #: The rules that op1 judges by.
@@ -55,6 +55,14 @@ def op10_html_extract(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_manifest(spark, sf_dir):
+    return manifest.prove(table(spark, sf_dir, "documents"), tamper=manifest.sampled())
+
+
+def op13_fill_middle(spark, sf_dir):
+    return fill_middle.transform(table(spark, sf_dir, "documents"), as_text=False)
+
+
 def quality_base(spark, sf_dir):
     """The base columns of op6, which SQL can express."""
     return quality.measure(table(spark, sf_dir, "documents")).drop("pattern")
@@ -65,11 +73,65 @@ def pii_base(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontam, op3_chat, op4_bpe, op5_substring_dedup, op6_quality, op7_token_store, op8_simhash, op9_pii, op10_html_extract, quality_base, pii_base)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontam, op3_chat, op4_bpe, op5_substring_dedup, op6_quality, op7_token_store, op8_simhash, op9_pii, op10_html_extract, op11_manifest, op13_fill_middle, quality_base, pii_base)}
+
+def _tree(name: str, levels: int) -> str:
+    """CTEs {name}1 to {name}levels over {name}0 (g, i, n, d): each level's nodes, of n in their group."""
+    return ",\n        ".join(f"{name}{k} AS (SELECT g, i // 16 AS i, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE min(d) END AS d FROM {name}{k - 1} GROUP BY g, i // 16, n)" for k in range(1, levels + 1))
+
+
+def _siblings(name: str, levels: int, at: str, first: int) -> str:
+    """The siblings of each of ``at`` (r, g, i), by level."""
+    return " UNION ALL ".join(f"SELECT x.r, {first + k} AS level, t.i, t.d FROM {at} x JOIN {name}{k} t ON t.g = x.g AND t.i // 16 = x.i // {16 ** (k + 1)} AND t.i <> x.i // {16**k} AND t.n > 1" for k in range(levels))
+
+
+def _folded(name: str, levels: int, before: str, out: str) -> str:
+    """CTEs {out}1 to {out}levels: the digests that ``before`` (r, g, i, d) fold to."""
+    froms = [before, *(f"{out}{k}" for k in range(1, levels))]
+    return ",\n        ".join(
+        f"{out}{k + 1} AS (SELECT x.r, x.g, x.i // 16 AS i, CASE WHEN t.n > 1 THEN sha256(string_agg(CASE WHEN t.i = x.i THEN x.d ELSE t.d END, '' ORDER BY t.i)) ELSE x.d END AS d FROM {f} x JOIN {name}{k} t ON t.g = x.g AND t.i // 16 = x.i // 16 GROUP BY x.r, x.g, x.i, x.d, t.n)"
+        for k, f in enumerate(froms)
+    )
+
+
+#: Levels for which the SQL of op11 is written out: a source of 16^6 rows, 16^3 sources.
+_LEVELS, _OVER = 6, 3
+_CODED = "coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_MANIFEST = rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, *, sha256({" || ".join(_CODED.format(c=c) for c in manifest.COLUMNS)}) AS leaf, sha256({" || ".join(_CODED.format(c=_LOWERED if c == "text" else c) for c in manifest.COLUMNS)}) AS tampered,
+                          list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+                                      lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))) AS crc FROM documents),
+        s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS g, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)),
+        l AS (SELECT r, g, doc_id, leaf, CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN tampered ELSE leaf END AS d, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n
+              FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+        t0 AS (SELECT g, i, n, leaf AS d FROM l),
+        {_tree("t", _LEVELS)},
+        u0 AS (SELECT 0 AS g, t{_LEVELS}.g AS i, s.n, d FROM t{_LEVELS} JOIN s USING (g)),
+        {_tree("u", _OVER)},
+        sub AS (SELECT r, 0 AS g, g AS i FROM l),
+        sib AS ({_siblings("t", _LEVELS, "l", 0)} UNION ALL {_siblings("u", _OVER, "sub", _LEVELS)}),
+        proof AS (SELECT r, sha256(string_agg(d, '' ORDER BY level, i)) AS p FROM sib GROUP BY r),
+        {_folded("t", _LEVELS, "l", "f")},
+        v0 AS (SELECT r, 0 AS g, g AS i, d FROM f{_LEVELS}),
+        {_folded("u", _OVER, "v0", "v")}
+        SELECT doc_id, leaf, u0.d AS subroot, root.d AS root, coalesce(p, sha256('')) AS proof_sha256, v{_OVER}.d AS folded_root, v{_OVER}.d = root.d AS verified
+        FROM l JOIN u0 ON u0.i = l.g JOIN v{_OVER} USING (r) LEFT JOIN proof USING (r), u{_OVER} root"""
 
 _WORDS = r"""SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents"""
 
 ORACLES = {
+    "op11_manifest": _MANIFEST,
+    "op13_fill_middle": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        u AS (SELECT *, len(string_split(text, chr(10))) - CASE WHEN text = '' OR text LIKE '%' || chr(10) THEN 1 ELSE 0 END AS n, string_split(text, chr(10)) AS l FROM d),
+        k AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS k1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS k2, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 AS s FROM u),
+        c AS (SELECT *, least(length(text), length(array_to_string(l[1:least(k1, k2)], chr(10))) + CASE WHEN least(k1, k2) > 0 THEN 1 ELSE 0 END) AS a,
+                     least(length(text), length(array_to_string(l[1:greatest(k1, k2)], chr(10))) + CASE WHEN greatest(k1, k2) > 0 THEN 1 ELSE 0 END) AS b FROM k),
+        f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN s THEN 'spm' ELSE 'psm' END AS form,
+                     left(text, a) AS p, substr(text, a + 1, b - a) AS m, substr(text, b + 1) AS x FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || x || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || x || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM f""",
     "op3_chat": chat.ORACLE,
     "op5_substring_dedup": f"""
         WITH d AS ({_WORDS}), starts AS (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d), win AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s FROM starts),
