@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat, decontam, fill_middle, html_extract, manifest, pii, quality, simhash, substring_dedup, token_store, url_filter
+from . import bpe, chat, decontam, fill_middle, html_extract, manifest, pii, quality, simhash, substring_dedup, suffix_dedup, token_store, url_filter
 from .common import shared_dir, table
 
 #: The rules that op1 judges by.
@@ -59,6 +59,10 @@ def op11_manifest(spark, sf_dir):
     return manifest.prove(table(spark, sf_dir, "documents"), tamper=manifest.sampled())
 
 
+def op12_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), as_bytes=False).withColumnRenamed("kept", "kept_sha256")
+
+
 def op13_fill_middle(spark, sf_dir):
     return fill_middle.transform(table(spark, sf_dir, "documents"), as_text=False)
 
@@ -73,7 +77,7 @@ def pii_base(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontam, op3_chat, op4_bpe, op5_substring_dedup, op6_quality, op7_token_store, op8_simhash, op9_pii, op10_html_extract, op11_manifest, op13_fill_middle, quality_base, pii_base)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontam, op3_chat, op4_bpe, op5_substring_dedup, op6_quality, op7_token_store, op8_simhash, op9_pii, op10_html_extract, op11_manifest, op12_suffix_dedup, op13_fill_middle, quality_base, pii_base)}
 
 def _tree(name: str, levels: int) -> str:
     """CTEs {name}1 to {name}levels over {name}0 (g, i, n, d): each level's nodes, of n in their group."""
