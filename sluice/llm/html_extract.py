@@ -9,8 +9,12 @@ then excluded, and never the other way round, so no excluded block has content b
 
 Text of content blocks: character references are decoded, white space within a block becomes one space, blocks are trimmed
 and joined in page order by one space. Scripts, styles and markup never count; buttons, selections and text fields are blocks, as
-other parts of forms. Attributes are read whole. Parsing takes time in proportion to the page, however deep or broken it is. Null or empty html gives an empty text.
-Repeated rows each give their own row; other columns are dropped.
+other parts of forms. Elements that are neither are inline, unknown ones too. Attributes are read whole. Parsing takes time in proportion to the page, however deep or broken it is.
+Null or empty html gives an empty text. Repeated rows each give their own row; other columns are dropped.
+
+``svg``, ``object``, ``canvas``, ``iframe``, ``template`` and ``noscript`` give no text, as far as they are closed; ``math`` gives its text without annotations. An ``svg`` also ends where an HTML block starts.
+A head ends with ``</head>``, or where a tag or a text comes that can't stand in it. Comment marks count only where comments can stand: not in attributes, scripts, styles,
+titles and text fields. As in HTML, a comment or script that never ends, or a last tag without its ``>``, takes all that follows.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from functools import cache, lru_cache
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -35,9 +40,14 @@ TREES = 40
 NODES = 10_000
 DEPTH = 5
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SILENT = frozenset("script style template noscript head title iframe svg object canvas math".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var img input wbr br".split())
+_SILENT = frozenset("script style template noscript head title iframe svg object canvas annotation annotation-xml".split())
 _ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+#: All tags that are blocks; any other is inline.
+_BLOCK = _ENDS_P | frozenset("html body li dt dd tr td th thead tbody tfoot caption colgroup option optgroup select button textarea datalist legend summary figcaption search frameset noframes dir listing xmp plaintext".split())
+#: Tags that may stand in a head.
+_IN_HEAD = frozenset("base basefont bgsound link meta title script style noscript template noframes".split())
+#: Foreign elements: there any tag may end itself.
+_FOREIGN = ("svg", "math")
 _BARRIERS = ("article", "main", "table", "body")
 #: Tags whose start ends an open element of the same set, up to the nearest element of the second set.
 _SIBLINGS = {"option": (("option",), ("select",)), "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
@@ -68,6 +78,17 @@ class Node:
         self.depth = parent.depth + 1 if parent else 0
 
 
+_OPENS = re.compile("<[A-Za-z/!?]")
+_COMMENT_ENDS = re.compile("-?>")
+_COMMENT_END = re.compile("--!?>")
+
+
+@cache
+def _end_tag(tag: str) -> re.Pattern:
+    """For the few tags that are silent or hold text only."""
+    return re.compile(rf"</{re.escape(tag)}(?=[\t\n\r\f />])", re.IGNORECASE)
+
+
 @lru_cache(100_000)
 def token_kinds(value: str) -> int:
     """The kinds of box that an attribute's words name, as bits."""
@@ -82,7 +103,10 @@ def token_kinds(value: str) -> int:
 class Tree(HTMLParser):
     """Block elements in page order, and the runs of text between block boundaries, each with its block."""
 
-    def __init__(self):
+    #: Elements whose content is text up to their end tag.
+    CDATA_CONTENT_ELEMENTS = ("script", "style", "title", "textarea", "iframe", "xmp", "noembed", "noframes")
+
+    def __init__(self, page: str = ""):
         super().__init__(convert_charrefs=True)
         root = Node("html", None, 0, 0)
         self.nodes, self.stack, self.silent, self.links = [root], [("html", root)], [], 0
@@ -90,6 +114,52 @@ class Tree(HTMLParser):
         self.holding: list[int] = []  # the places of open elements that hold others
         self.runs: list[tuple[Node, str]] = []
         self.pending: list[str] = []
+        self.silent_at: dict[str, list[int]] = defaultdict(list)  # by tag the places of its silent elements
+        self.page, self.at = page, 0
+        self.ends: dict[str, int] = {}  # by tag the place of its next end tag
+
+    def hush(self, tag: str) -> None:
+        self.silent_at[tag].append(len(self.silent))
+        self.silent.append(tag)
+
+    def end_hush(self, at: int = 0) -> None:
+        while len(self.silent) > at:
+            self.silent_at[self.silent.pop()].pop()
+
+    def closes(self, tag: str) -> bool:
+        """Whether an end tag follows. Each part of the page is searched once a tag."""
+        if self.ends.get(tag, -1) < self.at:
+            m = _end_tag(tag).search(self.page, self.at)
+            self.ends[tag] = m.start() if m else len(self.page)
+        return self.ends[tag] < len(self.page)
+
+    def parse_starttag(self, i):
+        self.at = len(self.page) - len(self.rawdata) + i
+        return super().parse_starttag(i)
+
+    def parse_comment(self, i, report=1):
+        if m := _COMMENT_ENDS.match(self.rawdata, i + 4) or _COMMENT_END.search(self.rawdata, i + 4):
+            return m.end()
+        return len(self.rawdata)
+
+    def parse_html_declaration(self, i):
+        if self.rawdata.startswith("<!--", i):
+            return self.parse_comment(i)
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
+    def parse_endtag(self, i):
+        if self.cdata_elem is None:
+            return super().parse_endtag(i)
+        tag, end = self.cdata_elem, self.rawdata.find(">", i)
+        self.clear_cdata_mode()
+        self.handle_endtag(tag)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
+    def set_cdata_mode(self, elem, **_):
+        """A script or style without an end takes the rest; others are then read as if they held markup."""
+        if elem in ("script", "style") or self.closes(elem):
+            self.cdata_elem, self.interesting = elem, _end_tag(elem)
 
     def break_run(self) -> None:
         if self.pending:
@@ -102,19 +172,20 @@ class Tree(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if self.silent:
-            if tag not in _VOID and tag in _SILENT:
-                self.silent.append(tag)
-            if tag in ("body", "article", "main", "nav") and self.silent[-1] in ("head", "title"):
-                self.silent = []
+            if self.silent[-1] in ("head", "title") and tag not in _IN_HEAD or self.silent[-1] == "svg" and tag in _BLOCK:
+                self.end_hush()
             else:
+                if tag in _SILENT:
+                    self.hush(tag)
                 return
         if tag in _SILENT:
-            self.silent.append(tag)
+            if tag in ("head", "title", "script", "style") or self.closes(tag):
+                self.hush(tag)
             return
         if tag == "br":
             self.pending.append(" ")
             return
-        if tag in _INLINE:
+        if tag not in _BLOCK:
             if tag == "a":
                 self.links += 1
             if tag == "input":
@@ -137,7 +208,7 @@ class Tree(HTMLParser):
                 kinds |= token_kinds(value)
             elif name == "data-y":
                 y = int(value == "1")
-        while self.stack[-1][0] in _INLINE:  # a block ends the inline elements around it
+        while self.stack[-1][0] not in _BLOCK:  # a block ends the inline elements around it
             self.pop()
         parent = self.stack[-1][1]
         parent.inputs += tag in ("button", "select", "textarea")
@@ -147,8 +218,12 @@ class Tree(HTMLParser):
         self.push(tag, node)
 
     def handle_startendtag(self, tag, attrs):
+        if tag in _FOREIGN or self.silent and self.silent[-1] in _FOREIGN:
+            return
         self.handle_starttag(tag, attrs)
-        if tag not in _VOID and tag not in _SILENT:
+        if tag in self.CDATA_CONTENT_ELEMENTS and self.closes(tag):
+            self.set_cdata_mode(tag)
+        elif tag not in _VOID:
             self.handle_endtag(tag)
 
     def push(self, tag: str, node: Node) -> None:
@@ -159,7 +234,7 @@ class Tree(HTMLParser):
 
     def pop(self) -> None:
         tag, _ = self.stack[-1]
-        if tag not in _INLINE:
+        if tag in _BLOCK:
             self.break_run()
         elif tag == "a":
             self.links -= 1
@@ -182,20 +257,24 @@ class Tree(HTMLParser):
 
     def handle_endtag(self, tag):
         if self.silent:
-            if tag == self.silent[-1] or tag == "head":
-                self.silent = self.silent[:-1] if tag == self.silent[-1] else []
+            if at := self.silent_at.get(tag):
+                self.end_hush(at[-1])
             return
         if tag in ("html", "body") or tag == "br":
             return
         at = self.last((tag,))
-        if not at or (tag in _INLINE or tag == "p") and self.holding and self.holding[-1] > at or tag not in _HOLDS and self.last(_BARRIERS) > at:
+        if not at or (tag not in _BLOCK or tag == "p") and self.holding and self.holding[-1] > at or tag not in _HOLDS and self.last(_BARRIERS) > at:
             return
         while len(self.stack) > at:
             self.pop()
 
     def handle_data(self, data):
+        if self.silent == ["head"] and data.strip():
+            self.end_hush()
         if self.silent:
             return
+        if self.cdata_elem:
+            data = unescape(data)
         self.pending.append(data)
         if self.links:
             self.stack[-1][1].link += len(data)
@@ -209,21 +288,12 @@ class Tree(HTMLParser):
         HTMLParser.close(self)
 
 
-_OPENS = re.compile("<[A-Za-z/!?]")
-
-
-def whole(html: str) -> str:
-    """The page up to a comment or a tag that never ends: it takes all that follows, and the parser would look for its end again and again."""
-    end = html.find("<!--", html.rfind("-->") + 1)
-    html = html if end < 0 else html[:end]
-    m = _OPENS.search(html, html.rfind(">") + 1)
-    return html[: m.start()] if m else html
-
-
 def parse(html: str | None) -> Tree:
-    tree = Tree()
-    if html:
-        tree.feed(whole(html))
+    if not html:
+        return Tree().finish()
+    m = _OPENS.search(html, html.rfind(">") + 1)  # the last tag, if it never ends
+    tree = Tree(page := html[: m.start()] if m else html)
+    tree.feed(page)
     return tree.finish()
 
 

@@ -3,7 +3,7 @@
 The rules become binary shards by ranges of their 64-bit xxhash keys: the keys in ascending order, the offsets of the rules'
 strings, their verdicts and the strings. The shards are built in Spark tasks, about ``SHARD_BYTES`` each, and written to the shared folder;
 each executor fetches them once (``addFile``) and its tasks map them into memory, so a list may be larger than memory, and
-none of it passes the driver. A url's candidate rules (each suffix of its host at a dot, times each path length that a rule has) are
+none of it passes the driver. A url's candidate rules (each suffix of its host at a dot and each prefix of its path that are as long as some rule's) are
 hashed and looked for by a vectorised binary search; a hit counts only if the stored string is equal, so colliding digests
 do no harm. The longest rule that fits wins, of equally long ones that with the longer host. A url that no rule fits is allowed.
 Of rules that are listed with both verdicts, block counts.
@@ -54,10 +54,11 @@ class Shard:
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
-            n, text_bytes, sizes = struct.unpack("<QQQ", f.read(24))
-        at = 24
-        self.path_sizes = np.memmap(path, np.uint64, "r", at, (sizes,)).tolist() if sizes else []
-        at += 8 * sizes
+            n, text_bytes, hosts, paths = struct.unpack("<QQQQ", f.read(32))
+        at = 32
+        sizes = np.memmap(path, np.uint64, "r", at, (hosts + paths,)).tolist() if hosts else []
+        self.host_sizes, self.path_sizes = sizes[:hosts], sizes[hosts:]
+        at += 8 * (hosts + paths)
         self.keys = np.memmap(path, np.uint64, "r", at, (n,)) if n else np.empty(0, np.uint64)
         self.ends = np.memmap(path, np.uint64, "r", at + 8 * n, (n + 1,))
         self.blocks = np.memmap(path, np.uint8, "r", at + 16 * n + 8, (n,)) if n else np.empty(0, np.uint8)
@@ -68,8 +69,8 @@ class Shard:
         """rules: (verdict, rule), each rule once."""
         coded = sorted((xxhash.xxh64_intdigest(rule), rule.encode(), verdict == "block") for verdict, rule in rules)
         ends = np.cumsum([0, *(len(rule) for _, rule, _ in coded)]).astype(np.uint64)
-        sizes = sorted({len(split_rule(rule)[1]) for _, rule in rules})
-        head = struct.pack("<QQQ", len(coded), int(ends[-1]), len(sizes)) + np.array(sizes, np.uint64).tobytes()
+        hosts, paths = (sorted({len(split_rule(rule)[part]) for _, rule in rules}) for part in (0, 1))
+        head = struct.pack("<QQQQ", len(coded), int(ends[-1]), len(hosts), len(paths)) + np.array(hosts + paths, np.uint64).tobytes()
         return b"".join([head, np.array([k for k, _, _ in coded], np.uint64).tobytes(), ends.tobytes(), bytes(b for _, _, b in coded), *(rule for _, rule, _ in coded)])
 
     def rule(self, i: int) -> str:
@@ -90,6 +91,7 @@ class DigestArray:
     def __init__(self, shards: list[Shard]):
         self.shards = sorted((s for s in shards if len(s.keys)), key=lambda s: int(s.keys[0]))
         self.first = np.array([s.keys[0] for s in self.shards], np.uint64)
+        self.host_sizes = sorted({n for s in self.shards for n in s.host_sizes}, reverse=True)
         self.path_sizes = sorted({n for s in self.shards for n in s.path_sizes})
 
     def find(self, strings: list[str]) -> list[tuple[Shard, int] | None]:
@@ -109,12 +111,9 @@ class DigestArray:
         return found
 
 
-def candidates(host: str, path: str, path_sizes: list[int]) -> list[str]:
-    """All rules that would fit, the longest host first."""
-    hosts, at = [host], host.find(".")
-    while at >= 0:
-        hosts.append(host[at + 1 :])
-        at = host.find(".", at + 1)
+def candidates(host: str, path: str, host_sizes: list[int], path_sizes: list[int]) -> list[str]:
+    """All rules that would fit, the longest host first: as many at most as there are pairs of lengths, however long the url is. host_sizes descend."""
+    hosts = [host[len(host) - n :] for n in host_sizes if n == len(host) or n < len(host) and host[len(host) - n - 1] == "."]
     return [h + path[:n] for h in hosts for n in path_sizes if n <= len(path)]
 
 
@@ -159,7 +158,7 @@ def judge(df: DataFrame, rules: list[tuple[str, str]] | DataFrame, key: str = "p
     def rows(part):
         array = digest_array(names)
         split = [split_url(u) for u in part[url]]
-        tried = [candidates(h, p, array.path_sizes) for h, p in split]
+        tried = [candidates(h, p, array.host_sizes, array.path_sizes) for h, p in split]
         places = iter(array.find([c for t in tried for c in t]))
         out = {key: part[key], "host": [h for h, _ in split], "path": [p for _, p in split], "rule": [], "verdict": []}
         for t in tried:

@@ -66,6 +66,17 @@ def plain_judge(url):
 URLS = ["http://A.B.net/es/1?x", "https://www.example.com/en/", "https://x.example.com/en/5#a", "https://example.com/fr", "net", None, "", "x://net/fr/", "http://net", "http://subnet/es/", "http://net/es", "a://b@c.com:80/en/", "://com/", "http://q.com/?a=/en/", "http://é.net/fr/é", "http://a.com/x\ny/z", "http://" + "a." * 3000 + "com/" + "p" * 200_000] * 2
 
 
+def test_long_urls(spark):
+    """A megabyte of host labels and as much of a path take no more candidates than the rules have lengths."""
+    url = "https://" + "a." * 500_000 + "example.com/en/" + "x" * 1_000_000
+    array = url_filter.DigestArray([])
+    began = time.process_time()
+    assert url_filter.candidates(*url_filter.split_url(url), [11, 3], [1, 4]) == ["example.com/", "example.com/en/", "com/", "com/en/"] and array.find([]) == []
+    assert time.process_time() - began < 1
+    got = url_filter.judge(spark.createDataFrame([(1, url), (2, "x://example.com./en/"), (3, "x:///en/")], "page_id long, url string"), queries.URL_RULES).collect()
+    assert [(r.page_id, r.rule, r.verdict) for r in sorted(got)] == [(1, "example.com/en/", "block"), (2, None, "allow"), (3, None, "allow")]
+
+
 def test_url_filter(spark):
     df = spark.createDataFrame([(i, u, "r") for i, u in enumerate(URLS)], "page_id long, url string, rule string")
     want = [(i, *plain_judge(u)) for i, u in enumerate(URLS)]
@@ -558,13 +569,26 @@ def test_attributes_are_read_whole():
     assert named.nodes[1].kinds == late.nodes[1].kinds != 0
 
 
-@pytest.mark.parametrize("html", ["<b><table>" + "<i>" * 20_000 + "</b>" * 20_000, "<h1>" * 20_000, "<div>" * 20_000 + "</span>" * 20_000, "<li>" * 20_000, "<p>" * 30_000, "<!--" * 50_000, "<a " * 50_000, "<button>" * 10_000])
+@pytest.mark.parametrize("html", ["<b><table>" + "<i>" * 20_000 + "</b>" * 20_000, "<h1>" * 20_000, "<div>" * 20_000 + "</span>" * 20_000, "<li>" * 20_000, "<p>" * 30_000, "<!--" * 50_000, "<a " * 50_000, "<button>" * 10_000, "<svg><p>" * 30_000 + "</svg>", "<svg>" * 50_000 + "</title>" * 50_000 + "</svg>" * 50_000, "<title>" * 50_000])
 def test_broken_pages_take_little_time(html):
     began = time.process_time()
     html_extract.features(html_extract.parse(html))
     assert time.process_time() - began < 20
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<script>var a="<!--";</script><article>x</article>', "x"), ("<style><!-- p{} </style><article>x</article>", "x"), ('<a title="<!--x">y</a> z', "y z"), ("<title>a <!-- b</title><p>c", "c"), ("c<!-->d<!--->e<!-- x --!>f", "cdef"), ("a<!--b<p>c", "a"),
+        ("<head><title>T</title><h1>Head</h1><p>Body text", "Head|Body text"), ("<head><meta x><div>Body text</div>", "Body text"), ("<head>Text", "Text"), ("<head><noscript><img></noscript><style>x</style></head>y", "y"), ("<title>T<h1>x</h1>", "x"),
+        ("<svg><path/><p>a</p>b", "a|b"), ("<svg><title/></svg>a<svg/>b", "ab"), ("<object>x</object>y", "y"), ("<object>x y", "x y"), ("<math><mi>x</mi><annotation>t</annotation></math>", "x"), ("<noscript><p>x</p></noscript>y", "y"),
+        ("foo<my-el>bar</my-el>baz <ruby>q<rt>w</rt></ruby>", "foobarbaz qw"), ("<textarea>a &amp; <b></textarea>d", "a & <b>|d"), ("<![foo]><p>x", "x"), ("<SCRIPT>a</Script foo>b<script src=x />c</script>d<iframe src=x />e", "bde"), ("<div/>a<p/>b <", "a|b <"),
+    ],
+)
+def test_no_page_is_lost(html, want):
+    assert "|".join(t for _, t in html_extract.parse(html).runs) == want
+
+
 def test_decoding_is_consistent():
     tree = html_extract.parse("<div><p>aaaa</p><div><p>bbbb</p></div></div>")
     r = np.random.default_rng(5)
