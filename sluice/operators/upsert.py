@@ -43,6 +43,16 @@ def upsert(table: DataFrame, batch: DataFrame, keys: list[str], policy: str, ord
     return joined.select(*(c.alias(n) for n, c in value.items())).unionByName(loose.select(table.columns))
 
 
+def settled(batch: DataFrame, keys: list[str], policy: str, order: str = "ord") -> DataFrame:
+    """One row of each whole key, as if the batch's rows came one by one by ``order`` (nulls last): the first where the table's row is kept, else the last. Ties go to the least hash of the row.
+    Rows with a null in their key all stay."""
+    whole = reduce(and_, (F.col(k).isNotNull() for k in keys))
+    by = [F.xxhash64(*batch.columns)]
+    if order in batch.columns:
+        by.insert(0, F.asc_nulls_last(order) if policy == "ignore" else F.desc_nulls_last(order))
+    return first_of_each(batch.filter(whole), keys, by).unionByName(batch.filter(~whole))
+
+
 def set_status(table: DataFrame, done: DataFrame, key: str, status: str = "done") -> DataFrame:
     """Rows whose key is in ``done`` get the status."""
     marks = done.select(F.col(key).alias("_k")).distinct().withColumn("_hit", F.lit(True))
@@ -53,7 +63,7 @@ class Store:
     """A folder of versions of one table. The newest version that is complete counts; a writer that dies leaves none."""
 
     def __init__(self, spark: SparkSession, path: str, schema):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.spark, self.path, self.schema, self._taken = spark, path.rstrip("/"), schema, 0
 
     def _fs(self):
         jvm = self.spark._jvm
@@ -67,6 +77,7 @@ class Store:
             return []
         names = [s.getPath().getName() for s in fs.listStatus(root)]
         found = [(int(m[1]), m[2] or "", int(m[3] or -1), n) for n in names if (m := re.fullmatch(r"v(\d+)(?:-([0-9a-f]+)-(\d+))?", n))]
+        self._taken = max((v[0] for v in found), default=0)
         return sorted(v for v in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{v[3]}/_SUCCESS")))
 
     def version(self) -> int:
@@ -80,11 +91,12 @@ class Store:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/{have[-1][3]}")
 
     def write(self, rows: DataFrame, stream: str = "", batch: int = -1) -> int:
+        """A new version. Its number is beyond all that were begun; of two writers that take the same number the later one fails and overwrites nothing."""
         have = self._versions()
-        v = have[-1][0] + 1 if have else 1
+        v = self._taken + 1
         if have and not stream:
             stream, batch = have[-1][1:3]
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{v}" + (f"-{stream}-{batch}" if stream else ""))
+        rows.write.parquet(f"{self.path}/v{v}" + (f"-{stream}-{batch}" if stream else ""))
         fs, _, jvm = self._fs()
         for *_, old in have[:-1]:  # readers of the version before still find it
             fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{old}"), True)
@@ -97,14 +109,18 @@ class Store:
         self.write(upsert(before, batch, keys, policy, order, **options))
         return self.read().count() - n
 
-    def merge_once(self, batch: DataFrame, stream: str, number: int, keys: list[str], policy: str, order: str, **options) -> bool:
-        """Apply a stream's batch unless the table has it already; so one that is run again adds nothing, rows of null key included."""
+    def change_once(self, change, stream: str, number: int) -> bool:
+        """Store ``change(table)`` for a stream's batch unless the table has it already; so one that is run again adds nothing, rows of null key included."""
         have = self._versions()
         if have and have[-1][1] == stream and have[-1][2] >= number:
             return False
-        self.write(upsert(self.read(), batch, keys, policy, order, **options), stream, number)
+        self.write(change(self.read()), stream, number)
         return True
 
+    def merge_once(self, batch: DataFrame, stream: str, number: int, keys: list[str], policy: str, order: str, **options) -> bool:
+        """Apply a stream's batch once."""
+        return self.change_once(lambda table: upsert(table, batch, keys, policy, order, **options), stream, number)
+
     def reset(self) -> int:
         return self.write(self.spark.createDataFrame([], self.schema))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..config import Lexicon, Role
 from ..functions import classify, fields, html, text, urls
-from ..operators import dedupe, extract, lookup, metrics, rank, score, upsert
+from ..operators import dedupe, extract, lookup, metrics, queue, rank, score, upsert
 from ..sources import export
 from ..streaming import ingest
 from . import runs
@@ -676,6 +676,47 @@ def stream_equals_batch(spark, d):
 
 
 
+_QUEUE = """
+    WITH e AS (SELECT event_id AS seq, 'https://jobs.example/' || user_id || '/' || CAST(floor(value / 10) AS BIGINT) AS url, props AS title, CAST(floor(value) AS INT) AS target_score, ts,
+                      CASE event_type WHEN 'purchase' THEN 'done' WHEN 'click' THEN 'claim' WHEN 'error' THEN 'release' ELSE 'found' END AS event FROM events),
+    q AS (SELECT url, min(seq) FILTER (WHERE event = 'found') AS found_seq, arg_min(title, seq) FILTER (WHERE event = 'found') AS title, arg_min(target_score, seq) FILTER (WHERE event = 'found') AS target_score,
+                 max(seq) FILTER (WHERE event = 'done') AS done_seq, max(seq) FILTER (WHERE event IN ('claim', 'release')) AS lease_seq,
+                 arg_max(CASE event WHEN 'claim' THEN ts + INTERVAL 10 DAY ELSE TIMESTAMP '1970-01-01' END, seq) FILTER (WHERE event IN ('claim', 'release')) AS leased_until FROM e GROUP BY url)
+    SELECT url, title, target_score, CASE WHEN done_seq > found_seq THEN 'done' WHEN lease_seq > found_seq AND leased_until > TIMESTAMP '2024-01-30' THEN 'leased' ELSE 'pending' END AS status
+    FROM q WHERE found_seq IS NOT NULL"""
+
+
+def _queue_events(spark, d):
+    kind = F.col("event_type")
+    return t(spark, d, "events").select(
+        F.concat(F.lit("https://jobs.example/"), F.col("user_id").cast("string"), F.lit("/"), F.floor(F.col("value") / 10).cast("string")).alias("url"), F.when(kind == "purchase", "done").when(kind == "click", "claim").when(kind == "error", "release").otherwise("found").alias("event"),
+        F.col("event_id").alias("seq"), (F.col("ts").cast("timestamp") + F.expr("INTERVAL 10 DAYS")).alias("until"), F.col("props").alias("title"), F.lit(None).cast("string").alias("company"), kind.alias("source_platform"), F.lit(None).cast("string").alias("listing_url"),
+        F.lit("dom").alias("discovery_method"), F.floor("value").cast("int").alias("target_score"),
+    )
+
+
+def _queue_shown(table):
+    return queue.with_status(table, F.lit("2024-01-30").cast("timestamp")).select("url", "title", "target_score", "status")
+
+
+@query(_QUEUE)
+def crawl_queue(spark, d):
+    """The queue after two batches of events, the later one first."""
+    happened = _queue_events(spark, d)
+    later = queue.apply(spark.createDataFrame([], queue.SCHEMA), happened.filter("seq % 2 = 1"))
+    return _queue_shown(queue.apply(later, happened.filter("seq % 2 = 0")))
+
+
+@query(_QUEUE)
+def crawl_queue_stream(spark, d):
+    """The stored queue after a stream of the events has been read to its end."""
+    base = dedupe.shared_folder(spark)
+    _queue_events(spark, d).repartition(2, "url").write.parquet(f"{base}/in")
+    store = upsert.Store(spark, f"{base}/queue", spark.createDataFrame([], queue.SCHEMA).schema)
+    ingest.keep_queue(spark, f"{base}/in", store, f"{base}/checkpoint")
+    return _queue_shown(store.read())
+
+
 # Further predicates, labels and runs
 
 

@@ -201,3 +201,31 @@ def test_lookups(spark):
     assert tuple(lookup.normalize_hits(hits).first())[1:] == ("T", "b", "https://dealls.com/x", "dealls")
     named = lookup.platforms_named(spark.createDataFrame([(0, 'site:glints.com "x"'), (1, "site:dealls.com")], "ord int, query string"), {"dealls": "site:dealls", "glints": "site:glints"})
     assert [r[0] for r in named.collect()] == ["glints", "dealls"]
+
+
+def test_queue(spark):
+    from datetime import datetime as dt
+
+    from sluice.operators import queue, upsert
+
+    at, rows = dt(2026, 1, 1, 12), []
+    for url, event, seq, until, title in [
+        ("a", "found", 5, None, "late"), ("a", "found", 1, None, "first"), ("b", "done", 1, None, None), ("b", "found", 2, None, "t"), ("c", "found", 1, None, "t"), ("c", "claim", 2, dt(2026, 1, 1, 13), None), ("d", "found", 1, None, "t"),
+        ("d", "claim", 2, dt(2026, 1, 1, 11), None), ("e", "found", 1, None, "t"), ("e", "claim", 2, dt(2026, 1, 1, 13), None), ("e", "release", 3, None, None), ("f", "found", 1, None, "t"), ("f", "done", 3, None, None), ("f", "found", 9, None, "again"),
+        ("g", "done", 3, None, None), (None, "found", 1, None, "t"), ("h", "found", 1, None, None), ("h", "found", 1, None, "tie"), ("i", "other", 1, None, None),
+    ]:
+        rows.append((url, event, seq, until, title, None, "p", None, "dom", seq))
+    happened, none = spark.createDataFrame(rows, queue.EVENTS), spark.createDataFrame([], queue.SCHEMA)
+    want = {"a": ("first", "pending"), "b": ("t", "pending"), "c": ("t", "leased"), "d": ("t", "pending"), "e": ("t", "pending"), "f": ("t", "done"), "h": (None, "pending")}
+    from pyspark.sql import functions as F
+
+    for parts in (["true"], ["seq > 2", "seq <= 2", "seq = 3"]):  # any order, and a batch twice
+        table = none
+        for p in parts:
+            table = queue.apply(table, happened.filter(p))
+        assert {r.url: (r.title, r.status) for r in queue.with_status(table, F.lit(at)).collect()} == want
+    assert [r.url for r in queue.next_links(table, F.lit(at), 3).collect()] == ["b", "a", "d"]
+    assert queue.with_status(queue.apply(none, happened.limit(0)), F.lit(at)).count() == 0
+    batch = spark.createDataFrame([("k", 2, "b"), ("k", 1, "a"), ("k", None, "z"), (None, 1, "x"), (None, 1, "x")], "url string, ord long, v string")
+    got = lambda policy: sorted((r.url or "", r.v) for r in upsert.settled(batch, ["url"], policy).collect())
+    assert got("ignore") == [("", "x"), ("", "x"), ("k", "a")] and got("replace") == [("", "x"), ("", "x"), ("k", "b")]
