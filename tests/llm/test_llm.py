@@ -397,8 +397,8 @@ def test_links_are_exact(spark, hot):
     assert {tuple(sorted(p)) for p in simhash.links(df, hot=hot).collect()} == want
 
 
-@pytest.mark.parametrize("nearest", [near_copies.NEXT, 1])
-def test_near_copies_against_brute_force(spark, nearest):
+@pytest.mark.parametrize(("nearest", "most"), [(near_copies.NEXT, near_copies.CROWD), (1, near_copies.CROWD), (1, 2)])
+def test_near_copies_against_brute_force(spark, nearest, most):
     r = random.Random(11)
     texts = [prose(100 + i, r.choice([3, 12, 60, 300])) for i in range(30)] + [None, "", " ", "one", "One"]
     for t in texts[:20]:
@@ -413,7 +413,41 @@ def test_near_copies_against_brute_force(spark, nearest):
     fp = [simhash.fingerprint(t) & (2**64 - 1) for t in texts]
     assert any((fp[i] ^ fp[j]).bit_count() > simhash.BITS for i, j in links)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    assert {x.doc_id for x in near_copies.one_of_each(df, nearest=nearest).collect()} == set(roots(len(texts), links))
+    assert {x.doc_id for x in near_copies.one_of_each(df, nearest=nearest, most=most).collect()} == set(roots(len(texts), links))
+
+
+def test_rare_shingles_lose_no_pair(spark):
+    """Every pair of similarity 0.8 or more among members of different groups, from sizes of one to thousands and shares next to the bound."""
+    r = random.Random(13)
+    common = prose(14, 400).split()
+    texts = [" ".join(common[: r.choice([6, 40, 400])] + prose(200 + i, r.choice([1, 9, 90])).split()) for i in range(120)] + ["one", "two words"]
+    texts += [" ".join([*t.split()[:-1], *["new"] * r.randint(0, max(1, len(t.split()) // 9))]) for t in texts[:60]]
+    sets = {hash_of: t for t in texts for hash_of in [tuple(near_copies.shingles(t).tolist())]}
+    rows = [(i, t) for i, t in enumerate(sets.values())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = near_copies._marks(df, "doc_id", "text")
+    crowd = marked.select("fp", "n", "map", F.col("fp").alias("root"))
+    found = near_copies._similar(near_copies._crowd_pairs(crowd, marked, df, "text"), marked, df, "text")
+    number = {x.fp: x.doc_id for x in marked.collect()}
+    each = [set(s) for s in sets]
+    want = {(j, i) for i in range(len(each)) for j in range(i) if 5 * len(each[i] & each[j]) >= 4 * len(each[i] | each[j])}
+    assert {tuple(sorted((number[x.a], number[x.b]))) for x in found.collect()} == want and len(want) > 40
+    assert near_copies.one_of_each(df.limit(0)).count() == 0
+
+
+def test_crowded_cell_of_unlike_members(spark):
+    """Texts of one template, each with a part of its own: thousands share a cell, and only the planted copies of one another meet."""
+    template = prose(15, 45)
+    texts = [f"{template} {' '.join(f'own{i}x{j}' for j in range(15))}" for i in range(20_000)]
+    texts += [t.rsplit(" ", 1)[0] + " other" for t in texts[:50]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("cell", F.lit(1)).repartition(4)
+    began = time.time()
+    marked = near_copies.durable(near_copies._marks(df, "doc_id", "text"))
+    cells = marked.select(F.explode("cells").alias("c")).groupBy("c").count().agg(F.max("count")).first()[0]
+    assert cells > near_copies.CROWD
+    kept = near_copies.one_of_each(df)
+    assert kept.columns == df.columns and sorted(x.doc_id for x in kept.select("doc_id").collect()) == list(range(20_000))
+    assert time.time() - began < 120
 
 
 def test_components(spark):
