@@ -35,13 +35,14 @@ def diversified(df: DataFrame, group: str, score: str, order: str, n: int, caps:
     """The best row of each of the best ``first`` groups, then the best rows, as far as the groups' caps allow; n rows in all.
 
     Rows of negative score never count. Gives ``phase`` and ``place``. Each group is cut to n rows before the groups are
-    put in one order, so the last step sees at most n rows a group.
+    put in one order, so the last step sees at most n rows a group. The bound by the number n, apart from the caps, lets Spark cut
+    groups within each partition before the shuffle, too (up to spark.sql.optimizer.windowGroupLimitThreshold), so a large group sends n rows a task.
     """
     if n <= 0:
         return df.limit(0).withColumn("phase", F.lit(0)).withColumn("place", F.lit(0))
     best = [F.desc(score), F.asc(order)]
     limit = F.least(F.coalesce(F.create_map(*(F.lit(x) for kv in caps.items() for x in kv))[F.col(group)], F.lit(n)), F.lit(n)) if caps else F.lit(n)
-    rows = numbered(df.filter(F.col(score) >= 0), [group], best, "_rn").filter((F.col("_rn") <= limit) | (F.col("_rn") == 1))
+    rows = numbered(df.filter(F.col(score) >= 0), [group], best, "_rn").filter(F.col("_rn") <= n).filter((F.col("_rn") <= limit) | (F.col("_rn") == 1))
     leaders = rows.filter("_rn = 1").orderBy(*best).limit(min(n, first)).select(F.col(group).alias("_leader"))
     rows = rows.join(F.broadcast(leaders), rows[group].eqNullSafe(F.col("_leader")), "left")  # at most ``first`` rows
     rows = rows.withColumn("phase", F.when((F.col("_rn") == 1) & F.col("_leader").isNotNull(), 1).otherwise(2)).filter((F.col("_rn") <= limit) | (F.col("phase") == 1))

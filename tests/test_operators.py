@@ -229,3 +229,12 @@ def test_queue(spark):
     batch = spark.createDataFrame([("k", 2, "b"), ("k", 1, "a"), ("k", None, "z"), (None, 1, "x"), (None, 1, "x")], "url string, ord long, v string")
     got = lambda policy: sorted((r.url or "", r.v) for r in upsert.settled(batch, ["url"], policy).collect())
     assert got("ignore") == [("", "x"), ("", "x"), ("k", "a")] and got("replace") == [("", "x"), ("", "x"), ("k", "b")]
+
+
+def test_diversified_cuts_groups_before_the_shuffle(spark):
+    df = spark.range(5000).selectExpr("id AS ord", "IF(id % 10 = 0, 'rare', 'hot') AS site", "id % 97 AS score")
+    out = rank.diversified(df, "site", "score", "ord", 5, {"hot": 2})
+    rows = [(r.site, r.score, r.place) for r in out.orderBy("place").collect()]
+    assert rows == [("hot", 96, 1), ("rare", 96, 2), ("hot", 96, 3), ("rare", 96, 4), ("rare", 96, 5)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan
