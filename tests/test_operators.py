@@ -125,6 +125,16 @@ def test_fuzzy_against_brute_force(spark):
     assert dedupe.indel_ratio("kitten", "sitting") == pytest.approx(indel("kitten", "sitting"))
 
 
+def test_pieces_of_titles_are_not_broadcast(spark):
+    """Hundreds of pieces a title, of which Spark knows nothing before it runs, pass neither the driver nor a single task."""
+    df = spark.range(50).select(F.col("id"), F.concat(F.lit("frontend developer intern "), F.md5(F.col("id").cast("string"))).alias("title"))
+    pairs = dedupe.similar_pairs(df, "id", "title")
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [key" in plan and "BroadcastHashJoin [key" not in plan and "Exchange hashpartitioning(t#" in pairs._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == 0
+
+
 def test_greedy_drops_copies_of_a_dropped_row(spark):
     x, r = "frontend developer intern jakarta", "frontend developer intern jakartas"
     rows = [(1, x, 5), (2, r, 4), (3, r, 3), (4, r, 9), (5, "cook", 1), (6, "cook", 2), (7, "cook", 1)]
