@@ -31,6 +31,11 @@ def key(name: str = "p_partkey"):
     return F.col(name).cast("string")
 
 
+def parts(spark, d) -> DataFrame:
+    """Part, dealt out by number: a task's share of a table goes by its bytes, and a row of few bytes becomes a whole page here."""
+    return t(spark, d, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+
+
 def by_case(n: int, *values, of="p_partkey"):
     """The value of case number key % n; the last one counts for the cases beyond."""
     k, out = F.col(of) % n, None
@@ -83,21 +88,21 @@ def values(rows) -> str:
 @query(f"SELECT p_partkey, replace(url, '#', CAST(p_partkey AS VARCHAR)) AS url, replace(title, '#', CAST(p_partkey AS VARCHAR)) AS title, company, source_platform, discovery_method FROM part JOIN (VALUES {values(_LINKS)}) v(k, url, title, company, source_platform, discovery_method) ON p_partkey % 8 = k")
 def platform_listings(spark, d):
     """Links of the listings of each platform: anchors, cards and scripts, and what is not a detail left out."""
-    pages = t(spark, d, "part").select("p_partkey", by_case(8, *(filled(u) for u, _ in _LISTINGS)).alias("url"), by_case(8, *(filled(h) for _, h in _LISTINGS)).alias("html"))
+    pages = parts(spark, d).select("p_partkey", by_case(8, *(filled(u) for u, _ in _LISTINGS)).alias("url"), by_case(8, *(filled(h) for _, h in _LISTINGS)).alias("html"))
     return html.detail_links(pages).select(F.regexp_extract("listing_url", r"p=(\d+)", 1).cast("long").alias("p_partkey"), "url", "title", "company", "source_platform", "discovery_method")
 
 
 @query(f"SELECT p_partkey, replace(url, '#', CAST(p_partkey AS VARCHAR)) AS url, title, company FROM part JOIN (VALUES {values(_FOUND)}) v(k, url, title, company) ON p_partkey % 6 = k")
 def api_bodies(spark, d):
     """Links that API bodies name, or that their ids and names make up."""
-    bodies = t(spark, d, "part").select(by_case(6, *(filled(u) for u, _ in _BODIES)).alias("listing_url"), by_case(6, *(filled(b) for _, b in _BODIES)).alias("body"), F.lit(None).cast("string").alias("source_platform"))
+    bodies = parts(spark, d).select(by_case(6, *(filled(u) for u, _ in _BODIES)).alias("listing_url"), by_case(6, *(filled(b) for _, b in _BODIES)).alias("body"), F.lit(None).cast("string").alias("source_platform"))
     return html.api_links(bodies).select(F.regexp_extract("listing_url", r"p=(\d+)", 1).cast("long").alias("p_partkey"), "url", "title", "company")
 
 
 @query(f"SELECT p_partkey, replace(url, '#', CAST(p_partkey AS VARCHAR)) AS url, title, company FROM part JOIN (VALUES {values(_FOUND)}) v(k, url, title, company) ON p_partkey % 6 = k")
 def api_bodies_in_pages(spark, d):
     """The same bodies found in a page's scripts."""
-    pages = t(spark, d, "part").select(by_case(6, *(filled(u) for u, _ in _BODIES)).alias("url"), F.concat(F.lit("<p>x</p><script data-api-response>"), by_case(6, *(filled(b) for _, b in _BODIES)), F.lit("</script>")).alias("html"))
+    pages = parts(spark, d).select(by_case(6, *(filled(u) for u, _ in _BODIES)).alias("url"), F.concat(F.lit("<p>x</p><script data-api-response>"), by_case(6, *(filled(b) for _, b in _BODIES)), F.lit("</script>")).alias("html"))
     return html.detail_links(pages).filter("discovery_method = 'api'").select(F.regexp_extract("listing_url", r"p=(\d+)", 1).cast("long").alias("p_partkey"), "url", "title", "company")
 
 
@@ -107,7 +112,7 @@ def structured_texts(spark, d):
         3, filled('<script type="application/ld+json">{"title": "Dev #", "description": "<b>Work</b>  here", "n": 5, "x": ["dev #", "ab"]}</script>'), filled('<script id="__NEXT_DATA__">{"a": {"b": ["State #"]}}</script><script>{"c": "not this"}</script>'),
         filled('<script type="application/ld+json">{"title": </script>'),
     )
-    return html.structured_text(t(spark, d, "part").select("p_partkey", body.alias("html")), "p_partkey")
+    return html.structured_text(parts(spark, d).select("p_partkey", body.alias("html")), "p_partkey")
 
 
 @query("SELECT page_id, 'Head' || chr(10) || 'One  two' || chr(10) || 'é & more ' || page_id AS text FROM pages")
@@ -184,7 +189,7 @@ _PAGES = (
 
 def job_pages(spark, d) -> DataFrame:
     of = lambda i: by_case(8, *(filled(r[i]) if r[i] is not None else F.lit(None).cast("string") for r in _PAGES))
-    return t(spark, d, "part").select(of(0).alias("url"), of(1).alias("title"), of(2).alias("text_content"), by_case(8, *("detail" if n == 6 else "unknown" for n in range(8))).alias("page_type"), F.col("p_partkey").alias("ord"))
+    return parts(spark, d).select(of(0).alias("url"), of(1).alias("title"), of(2).alias("text_content"), by_case(8, *("detail" if n == 6 else "unknown" for n in range(8))).alias("page_type"), F.col("p_partkey").alias("ord"))
 
 
 @query(f"SELECT p_partkey, r AS rejection_reason, role, company, location, work_mode, CAST(pay AS BIGINT) AS salary_min, duration, deadline, CAST(s AS INT) AS score FROM part JOIN (VALUES {values([(n, *r[3:]) for n, r in enumerate(_PAGES)])}) v(k, r, role, company, location, work_mode, pay, duration, deadline, s) ON p_partkey % 8 = k")
@@ -263,7 +268,7 @@ def dashboard_gate(spark, d):
 )
 def evaluation(spark, d):
     """Labelled rows through extractor and scores: found, missed by its target, rightly left out, wrongly taken."""
-    rows = t(spark, d, "part").select(
+    rows = parts(spark, d).select(
         filled("u#").alias("url"), by_case(4, "Frontend Intern", "Actuarial Intern", "Senior Cook", "Frontend Intern").alias("title"), F.lit("Acme").alias("company"), by_case(4, "internship react", "pricing", "cooking", "internship").alias("description"),
         (F.col("p_partkey") % 4 < 2).alias("true_should_save"), (F.col("p_partkey") % 4 < 2).alias("true_is_internship"), by_case(4, "frontend", "actuarial", F.lit(None).cast("string"), F.lit(None).cast("string")).alias("true_role"),
         by_case(4, F.lit(None).cast("string"), F.lit("tech"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("target_category"),

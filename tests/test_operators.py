@@ -148,6 +148,22 @@ def test_greedy_drops_copies_of_a_dropped_row(spark):
         assert {v.id for v in dedupe.greedy(df, pairs, "id", order).collect()} == {v[0] for v in kept}
 
 
+def test_pages_are_parsed_once_and_bodies_once_more(spark):
+    pages = spark.createDataFrame([("https://work.example/all", '<a href="/job/1">J</a><SCRIPT DATA-API-RESPONSE>{"x": [{"href": "https://work.example/job/2", "headline": "K"}]}</SCRIPT>')] + [(f"https://work.example/all?p={i}", f'<a href="/job/{i}">J</a>') for i in range(450)], "url string, html string").coalesce(1)
+    links = html.detail_links(pages)
+    assert links._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 3
+    got = [(r.listing_url, r.url, r.discovery_method) for r in links.collect()]
+    assert len(got) == 452 and ("https://work.example/all", "https://work.example/job/2", "api") in got
+
+
+@pytest.mark.parametrize("name", ["platform_listings", "api_bodies", "api_bodies_in_pages", "structured_texts", "extract_fields", "evaluation"])
+def test_rows_that_become_pages_are_dealt_out_by_number(spark, sf_dir, name):
+    from sluice.plans import cases
+
+    made = cases.job_pages(spark, sf_dir) if name in ("extract_fields", "evaluation") else getattr(cases, name)(spark, sf_dir)
+    assert "RepartitionByExpression [p_partkey" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_exact_dedupe_keeps_best(spark):
     df = spark.createDataFrame([("https://a.example/1?ref=x", "T", "C", None, None, 80, 0), ("https://a.example/1", "T", "C", None, None, 90, 1), (None, "T", "C", None, None, 85, 2), ("", "Z", None, None, None, 1, 3)], "source_url string, title string, company string, role string, location string, score int, ord int")
     assert {r.score for r in dedupe.exact(df).collect()} == {90, 1}
