@@ -416,6 +416,22 @@ def test_near_copies_against_brute_force(spark, nearest, most):
     assert {x.doc_id for x in near_copies.one_of_each(df, nearest=nearest, most=most).collect()} == set(roots(len(texts), links))
 
 
+def test_near_copies_by_fingerprints(spark):
+    """Links of op8 come by its fingerprints, with no cell of MinHash at all, and are judged exactly."""
+    base = [prose(900 + i, 300) for i in range(20)]
+    texts = base + [f"{t} end" for t in base] + ["x", "y", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = near_copies.durable(near_copies._marks(df, "doc_id", "text").withColumn("cells", F.array().cast("array<long>")))
+    fp = {x.doc_id: x.fp for x in marked.collect()}
+    root = {x.node: x.root for x in near_copies.roots(marked, df).collect()}
+    bits = [(simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[20 + i])) & (2**64 - 1) for i in range(20)]
+    near = [b.bit_count() <= simhash.BITS for b in bits]
+    assert sum(near) >= 10
+    for i in range(20):
+        assert (root.get(fp[i], fp[i]) == root.get(fp[20 + i], fp[20 + i])) == near[i]
+    assert len({root.get(fp[i], fp[i]) for i in range(20)}) == 20
+
+
 def test_rare_shingles_lose_no_pair(spark):
     """Every pair of similarity 0.8 or more among members of different groups, from sizes of one to thousands and shares next to the bound."""
     r = random.Random(13)
