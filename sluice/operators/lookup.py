@@ -28,8 +28,9 @@ def in_order(wanted: DataFrame, *sources: DataFrame, key: str = "url", order: st
 
 
 def attribute(details: DataFrame, links: DataFrame, url: str = "url", listing: str = "listing_url", order: str = "ord") -> DataFrame:
-    """Each detail with the listing that last named it, by canonical url on both sides."""
-    last = links.select(urls.canonical(url).alias("_u"), listing, order).groupBy("_u").agg(F.max_by(listing, order).alias(listing))
+    """Each detail with the listing that last named it, by canonical url on both sides. Links of one spelling are one row before it is made canonical."""
+    spelt = links.groupBy(F.col(url).alias("_s")).agg(F.max_by(listing, order).alias(listing), F.max(order).alias("_o"))
+    last = spelt.groupBy(urls.canonical("_s").alias("_u")).agg(F.max_by(listing, "_o").alias(listing))
     return details.join(last, urls.canonical(details[url]) == F.col("_u"), "left").drop("_u")
 
 

@@ -164,6 +164,14 @@ def test_rows_that_become_pages_are_dealt_out_by_number(spark, sf_dir, name):
     assert "RepartitionByExpression [p_partkey" in made._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_links_of_one_spelling_are_made_canonical_once(spark):
+    links = spark.createDataFrame([("https://A.example/1", "l1", 1), ("https://A.example/1", "l2", 5), ("https://a.example/1/", "l3", 3), ("https://a.example/2", "l4", None)], "url string, listing_url string, ord long")
+    details = spark.createDataFrame([("https://a.example/1#x",), ("https://a.example/2",)], "url string")
+    found = lookup.attribute(details, links)
+    assert {(r.url, r.listing_url) for r in found.collect()} == {("https://a.example/1#x", "l2"), ("https://a.example/2", None)}
+    assert "Aggregate [url#" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_exact_dedupe_keeps_best(spark):
     df = spark.createDataFrame([("https://a.example/1?ref=x", "T", "C", None, None, 80, 0), ("https://a.example/1", "T", "C", None, None, 90, 1), (None, "T", "C", None, None, 85, 2), ("", "Z", None, None, None, 1, 3)], "source_url string, title string, company string, role string, location string, score int, ord int")
     assert {r.score for r in dedupe.exact(df).collect()} == {90, 1}
