@@ -164,6 +164,16 @@ def test_rows_that_become_pages_are_dealt_out_by_number(spark, sf_dir, name):
     assert "RepartitionByExpression [p_partkey" in made._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_page_text_holds_few_pages_as_strings(spark):
+    from pyspark.util import PythonEvalType
+
+    assert html.page_text.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+    rows = spark.range(2 * html.SLICE + 1).coalesce(1).select("id", F.when(F.col("id") != 3, F.concat(F.lit("<nav>N</nav><p>p"), F.col("id").cast("string"), F.lit("</p>"))).alias("h"))
+    got = {r.id: r.t for r in rows.select("id", html.page_text("h").alias("t")).collect()}
+    assert got == {i: None if i == 3 else f"p{i}" for i in range(2 * html.SLICE + 1)}
+    assert rows.limit(0).select(html.page_text("h")).count() == 0
+
+
 def test_links_of_one_spelling_are_made_canonical_once(spark):
     links = spark.createDataFrame([("https://A.example/1", "l1", 1), ("https://A.example/1", "l2", 5), ("https://a.example/1/", "l3", 3), ("https://a.example/2", "l4", None)], "url string, listing_url string, ord long")
     details = spark.createDataFrame([("https://a.example/1#x",), ("https://a.example/2",)], "url string")
