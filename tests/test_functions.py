@@ -1,10 +1,13 @@
+import re
 from datetime import datetime
+from functools import reduce
 
 import pytest
 from fixtures import LEXICON
 from pyspark.sql import functions as F
 
 from sluice.functions import classify, fields, html, text, urls
+from sluice.operators import extract
 
 
 def one(spark, value, f, kind="string"):
@@ -150,3 +153,29 @@ def test_json_walk_is_deep_and_tolerant(spark):
     deep = "[" * 500 + '{"jobUrl": "https://glints.com/id/opportunities/jobs/a/1"}' + "]" * 500
     bodies = spark.createDataFrame([("https://glints.com/l", deep, None), ("https://glints.com/l", "{broken", "glints"), ("https://glints.com/l", None, "glints")], "listing_url string, body string, source_platform string")
     assert [r.url for r in html.api_links(bodies).collect()] == ["https://glints.com/id/opportunities/jobs/a/1"]
+
+
+def test_matches_any_as_its_patterns_one_by_one(spark):
+    """Shared borders and the look at beginnings find the same as each pattern alone, also where letters outside ASCII match ASCII ones."""
+    words = ("intern", "internship", "head of", "head\u3000of", "vice president", "co-op", "find jobs", "12 jobs", "job vacancy or opportunity", "senior", "magang", "chief", "vp", "links")
+    marks = ("", " ", "x", "é", "_", "\u0301", "-", "\n")
+    texts = [m + w + n for w in words for m in marks for n in marks] + [w.upper() for w in words] + [w.replace(a, b) for w in words for a, b in ("iı", "iİ", "sſ", "k\u212a", "nṄ")] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    for patterns in (classify.V.INTERN_TITLE, classify.V.SENIOR_TITLE, classify.V.LISTING_TITLES, (r"\blinks?\b", r"a|\bvp\b", r"\bmagangs*\b")):
+        alone = F.coalesce(reduce(lambda a, b: a | b, (F.col("x").rlike("(?iU)" + p) for p in patterns)), F.lit(False))
+        got = df.select(F.col("x"), alone.alias("want"), text.matches_any("x", patterns).alias("got"), text.matches_any("x", patterns, text.plain_lower("x")).alias("rare")).collect()
+        assert any(r.want for r in got) and [r for r in got if not r.want == r.got == r.rare] == []
+
+
+def test_no_letter_is_missed_by_plain_lower(spark):
+    """Every character that matches an ASCII letter, case aside, is one or makes plain_lower null."""
+    df = spark.range(0x20, 0xD800).union(spark.range(0xE000, 0x1F000)).select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("x"))
+    odd = df.filter(F.col("x").rlike("(?iU)[abcdefghijklmnopqrstuvwxyz]") & F.coalesce(~text.plain_lower("x").rlike("[a-z]"), F.lit(False)))
+    assert odd.count() == 0 and df.filter(text.plain_lower("x").isNull()).count() == 4
+
+
+def test_extractor_goes_through_titles_once_a_decision(spark):
+    """Whether a title names an internship is asked once for the gate and once for the role, however many roles there are."""
+    pages = spark.createDataFrame([("u", "t", "b", "detail")], "url string, title string, text_content string, page_type string")
+    plan = extract.extract(pages, LEXICON).select("role", "rejection_reason")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"RLIKE\([^,]*, \(\?iU\)[^,]*apprentice", plan)) == 2
