@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.llm import suffix_dedup
 
@@ -68,6 +69,26 @@ def test_many_copies_over_many_ranges(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_copies_do_not_meet_in_one_task(spark, monkeypatch):
+    """Copies of one text get what was found of it in many tasks, each with its text."""
+    tables = []
+    monkeypatch.setattr(suffix_dedup, "durable", lambda df, of=suffix_dedup.durable: tables.append(of(df)) or tables[-1])
+    texts = [LONG[:900]] * 400 + [made(20 + i, 500) + PASSAGE[: 300 + 20 * i] for i in range(20)] + [None, ""]
+    settings = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = sorted((r[0], r[1], r[2], r[3], bytes(r[4])) for r in suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == [(i, *p) for i, p in enumerate(plain([(t or "").encode() for t in texts], 400))]
+    cut = next(t for t in tables if "stretches" in t.columns)
+    tasks = [r[1] for r in cut.filter("key < 400").groupBy(F.input_file_name()).count().collect()]
+    assert sum(tasks) == 400 and max(tasks) < 200
+
+
 def test_pieces_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
     texts = [made(9, 7000) + PASSAGE, PASSAGE + made(10, 3000) + PASSAGE[:600], made(11, 50) + LONG, LONG + "."]
